@@ -132,3 +132,42 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows and bounded bytes, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+#: Rows of the sieve; each holds 64 bits, so its size is bounded whatever the data hold.
+SIEVE_WORDS = 1 << 16
+
+
+def with_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each whole row as a struct ``row`` (so that no column name can clash), with its key."""
+    return keyed(docs, scratch, {"row": F.struct(*[f"`{c}`" for c in docs.columns])})
+
+
+def _sieve_bit() -> tuple[Column, Column]:
+    hashed = F.xxhash64("_f", "_r")
+    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)), F.pmod(hashed, F.lit(64)).cast("int")
+
+
+def sieved(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with ``suspect``: false for most rows whose key is not among ``members``.
+
+    The members are hashed onto 4 million bits, a broadcast of 65,536 rows at
+    most. It spares rows with long texts a shuffle; a join on the key decides.
+    """
+    word, bit = _sieve_bit()
+    bits = members.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    suspect = F.expr("coalesce(shiftright(_bits, _bit) & 1L, 0L)") == 1
+    return marked.withColumn("suspect", suspect).drop("_word", "_bit", "_bits")
+
+
+def only(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose key is among ``members``."""
+    return sieved(rows, members).where("suspect").drop("suspect").join(members.select("_f", "_r"), ["_f", "_r"], "left_semi")
+
+
+def without(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``members``; only suspects are shuffled."""
+    marked = sieved(rows, members)
+    rest = marked.where("suspect").join(members.select("_f", "_r"), ["_f", "_r"], "left_anti")
+    return marked.where(~F.col("suspect")).select(*rows.columns).unionByName(rest.select(*rows.columns))

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+}
