@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, html_text, licenses, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": html_text.op1_html_text,
+    "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_html_text": html_text.op1_html_text,
+    "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
