@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, licenses, mixing
+from . import bpe, exact_dedup, html_text, licenses, minhash, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
+    "op9_minhash": minhash.op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
@@ -21,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_minhash": minhash.OP9_SQL,
 }
