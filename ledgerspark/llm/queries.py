@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, licenses, minhash, mixing
+from . import bpe, exact_dedup, html_text, licenses, line_dedup, minhash, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
     "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
     "op9_minhash": minhash.op9_minhash,
@@ -21,6 +22,7 @@ ORACLES: dict[str, str] = {
     "op1_html_text": html_text.op1_html_text,
     "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_minhash": minhash.OP9_SQL,
 }
