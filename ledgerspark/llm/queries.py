@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, html_text, licenses, line_dedup, minhash, mixing
+from . import ann, bpe, exact_dedup, html_text, licenses, line_dedup, minhash, mixing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
     "op9_minhash": minhash.op9_minhash,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES: dict[str, str] = {
