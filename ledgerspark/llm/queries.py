@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, html_text, licenses, line_dedup, minhash, mixing, repeats
+from . import ann, bpe, exact_dedup, html_text, licenses, line_dedup, minhash, mixing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
     "op2_ann": ann.op2_ann,
+    "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_html_text": html_text.op1_html_text,
     "op2_ann": ann.op2_ann,
+    "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
