@@ -3,13 +3,15 @@
 1. Every text's set of hashed shingles gives ``BANDS * ROWS`` minima of
    universal hash functions. Texts with equal sets are one class from here on,
    so groups of copies are never paired.
-2. Classes that agree in a band meet in a bucket. In each bucket all are paired
-   with one of them (the hub): as many pairs as members.
+2. Classes that agree in a band meet in a bucket. Every class is paired with the
+   least class that it meets: at most one pair each.
 3. Pairs pass if their sizes allow the similarity and the low bits of their
-   minima agree often enough, and are then confirmed on the full sets.
-4. Links make components. Only where a bucket still holds several components
-   are the members of different ones compared, all of them, so no link that a
-   bucket holds is lost to step 2. Then components are made again.
+   minima agree often enough, and are then confirmed on the full sets. Links
+   make components.
+4. Only where a bucket still holds several components are members of different
+   ones compared, all of them, so no link that a bucket holds is lost to step 2.
+   That happens inside tasks, on cells of bounded size, which pass on nothing
+   but confirmed links that join two components. Then components are made again.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
 SEED = 20240607
+#: Members of a bucket that are compared at once; larger buckets are cut into cells of two such blocks.
+CELL = 1024
 #: Of 128 low bits of minima, those that may differ: at similarity 0.8 about 13
 #: do, and more than 30 with a chance of 1 in a million.
 MOST_BITS = 30
@@ -127,6 +131,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u bigint, v bigint")
 
 
+def _cell_links(rows: list[tuple], band: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Confirmed links between members of different components in one cell, as few as join them.
+
+    ``rows``: node, root, n_shingles, bits1, bits2, bands, shingles, block. A pair is
+    left to the first band in which it agrees, and to the cell of its two blocks.
+    """
+    nodes = [r[0] for r in rows]
+    component = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    if component.max() == 0:
+        return
+    sizes = np.array([r[2] for r in rows])
+    bits = np.array([(r[3], r[4]) for r in rows], np.int64).view(U)
+    bands = np.array([r[5] for r in rows])
+    block = np.array([r[7] for r in rows])
+    cut = len(np.unique(block)) > 1
+    for i in range(len(rows) - 1):
+        j = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+        if cut:
+            j = j[block[j] != block[i]]
+        j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= MOST_BITS]
+        if len(j):
+            j = j[(bands[j] == bands[i]).argmax(1) == band]
+        mine = np.frombuffer(rows[i][6], U)
+        for k in j.tolist():
+            if component[k] != component[i]:
+                other = np.frombuffer(rows[k][6], U)
+                shared = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
+                if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                    component[component == component[k]] = component[i]
+                    yield nodes[i], nodes[k]
+
+
+def _links_within(rest: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components in each bucket. ``rest``: band, key, n, node, root,
+    n_shingles, bits1, bits2, bands, shingles of the members of buckets with several components."""
+    names = ["node", "root", "n_shingles", "bits1", "bits2", "bands", "shingles", "block"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, links = None, [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for at, row in zip(zip(*columns[:4]), zip(*columns[4:])):
+                if at != cell:
+                    if len(rows) > 1:
+                        links += _cell_links(rows, cell[0], percent)
+                    cell, rows = at, []
+                rows.append(row)
+            if len(links) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
+                links = []
+        if len(rows) > 1:
+            links += _cell_links(rows, cell[0], percent)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
+
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    where = ["band", "key", "low", "high"]
+    return rows.select(*where, *names).repartition(*where).sortWithinPartitions(*where).mapInArrow(work, "u bigint, v bigint")
+
+
 def _plausible(percent: int):
     sizes = (100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles"))
     differ = F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1"))) + F.bit_count(F.col("a.bits2").bitwiseXOR(F.col("b.bits2")))
@@ -152,8 +220,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     bands = firsts.select("node", F.posexplode("bands").alias("band", "key"))
 
     hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.write(bands.join(hubs.select("band", "key", "hub"), ["band", "key"]), "shared")
-    stars = shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    shared = scratch.write(bands.join(hubs, ["band", "key"]), "shared")
+    stars = shared.groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v")).where("u <> v")
     stars = stars.join(facts.alias("a"), F.col("u") == F.col("a.node")).join(facts.alias("b"), F.col("v") == F.col("b.node")).where(_plausible(percent)).select("u", "v")
     stars = scratch.write(stars, "stars")
     # Whatever meets another in a bucket may have to be confirmed in either step.
@@ -162,15 +230,11 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     links = scratch.write(_confirmed(stars, sets, percent), "links")
     roots = components(links, scratch, "first")
 
-    known = shared.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = shared.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_up = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    rest = scratch.write(known.join(mixed_up, ["band", "key"]).join(facts, "node"), "rest")
-    across = (
-        rest.alias("a").join(rest.alias("b"), ["band", "key"])
-        .where((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _plausible(percent))
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    )
-    more = _confirmed(scratch.write(across.join(stars, ["u", "v"], "left_anti"), "across"), sets, percent)
+    rest = known.join(mixed_up, ["band", "key"])
+    packed = firsts.select("node", "n_shingles", "bits1", "bits2", "bands").join(sets, "node")
+    more = _links_within(scratch.write(rest, "rest").join(packed, "node"), percent)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, "last")
 
     owned = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("root", "class").alias("root"))
