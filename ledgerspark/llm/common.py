@@ -46,6 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.inputs: list[tuple[DataFrame, DataFrame]] = []
         atexit.register(self._clear)
 
     def _clear(self) -> None:
@@ -61,6 +62,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def table_of(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table, written once however often it is asked for."""
+        for known, table in self.inputs:
+            if known is df:
+                return table
+        self.inputs.append((df, self.write(df, f"input-{len(self.inputs)}")))
+        return self.inputs[-1][1]
+
     def drop(self, name: str) -> None:
         delete_path(self.spark, self.path(name))
 
@@ -75,7 +84,7 @@ def keyed(docs: DataFrame, scratch: Scratch, columns: dict[str, Column]) -> Data
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
-        docs = scratch.write(docs, "input")
+        docs = scratch.table_of(docs)
     return docs.select(
         F.xxhash64("_metadata.file_path").alias("_f"),
         F.col("_metadata.row_index").alias("_r"),

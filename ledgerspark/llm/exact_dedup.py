@@ -104,12 +104,13 @@ def exact_groups(
     return rows.join(clashes, "digest", "left_anti").select(*fixed.columns).unionByName(fixed)
 
 
-KEPT = (F.col("keep._f") == F.col("_f")) & (F.col("keep._r") == F.col("_r"))
+#: Whether the row itself is the one that stays.
+KEPT = "keep._f = _f and keep._r = _r"
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose equal stays."""
-    dropped = scratch.write(exact_groups(docs, scratch, text, ident).where(~KEPT).select("_f", "_r"), "dropped")
+    dropped = scratch.write(exact_groups(docs, scratch, text, ident).where(f"not ({KEPT})").select("_f", "_r"), "dropped")
     return without(with_keys(docs, scratch), dropped).select("row.*")
 
 
@@ -120,7 +121,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        KEPT.alias("kept"),
+        F.expr(KEPT).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
