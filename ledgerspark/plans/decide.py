@@ -14,19 +14,25 @@ from ..operators.path_sets import differing, paths
 BRANCH_PREFIX = "codex/"
 
 
-def overlaps(tasks: DataFrame) -> DataFrame:
+def overlaps(tasks: DataFrame, bits: int = 20) -> DataFrame:
     """``id`` and ``overlap``: whether a task was ever active together with another.
 
     ``begin_seq`` and ``finish_seq`` (null while active) are places in the log.
     Two neighbours in the order of beginning decide it: one that began before
-    is still open, or the next begins before this one ends. A ledger has one
-    order, hence one partition.
+    is still open, or the next begins before this one ends. The order is cut
+    into ranges of 2^bits places; a row per range carries what is still open
+    from the ranges before it, so only those rows are sorted in one task.
     """
-    by_begin = Window.orderBy("begin_seq")
     end = F.coalesce("finish_seq", F.lit(1 << 62))
-    before = F.max(end).over(by_begin.rowsBetween(Window.unboundedPreceding, -1)) > F.col("begin_seq")
-    after = F.lead("begin_seq").over(by_begin) < end
-    return tasks.select("id", (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).alias("overlap"))
+    rows = tasks.select("id", "begin_seq", end.alias("end"), F.shiftright("begin_seq", bits).alias("range"))
+    ranges = rows.groupBy("range").agg(F.max("end").alias("last"), F.min("begin_seq").alias("first"))
+    order = Window.orderBy("range")
+    carried = ranges.select("range", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("still"), F.lead("first").over(order).alias("following"))
+    own = Window.partitionBy("range").orderBy("begin_seq")
+    within = rows.withColumns({"before": F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), "after": F.lead("begin_seq").over(own)})
+    joined = within.join(carried, "range")
+    meets = (F.greatest("before", "still") > F.col("begin_seq"), F.coalesce("after", "following") < F.col("end"))
+    return joined.select("id", (F.coalesce(meets[0], F.lit(False)) | F.coalesce(meets[1], F.lit(False))).alias("overlap"))
 
 
 def claim_audit(requests: DataFrame) -> DataFrame:

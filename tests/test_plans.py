@@ -42,8 +42,10 @@ def test_overlap_is_the_sequential_rule(spark):
                 open_.append(t)
                 spans[t] = [seq, None]
             events.append(t)
-        out = decide.overlaps(spark.createDataFrame([(k, *v) for k, v in spans.items()], "id string, begin_seq bigint, finish_seq bigint")).collect()
-        assert {r.id for r in out if r.overlap} == marked
+        tasks = spark.createDataFrame([(k, *v) for k, v in spans.items()], "id string, begin_seq bigint, finish_seq bigint")
+        for bits in (1, 3, 20):
+            out = decide.overlaps(tasks, bits).collect()
+            assert len(out) == len(spans) and {r.id for r in out if r.overlap} == marked
 
 
 def test_latest_and_first(spark):
