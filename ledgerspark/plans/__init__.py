@@ -1 +1 @@
-
+"""Decisions, audits and reports over recorded observations."""

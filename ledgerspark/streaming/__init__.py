@@ -1 +1 @@
-
+"""The ledger has no streaming operator; its log is folded in batches."""
