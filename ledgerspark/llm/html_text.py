@@ -48,16 +48,22 @@ BAD_NAMES = frozenset(
     "footer header masthead topbar bottombar copyright colophon contentinfo "
     "sidebar aside rail widget widgets complementary related recommended recommendations more trending popular "
     "cookie cookies consent gdpr notice notices notification alert banner disclaimer legal privacy popup modal overlay newsletter subscribe subscription signup paywall "
-    "social share sharing follow comment comments commentlist reply replies disqus respond discussion reader "
+    "social share sharing follow comment comments commentlist reply replies disqus respond response responses discussion feedback reader "
     "search login form hidden skip".split()
 )
 GOOD_NAMES = frozenset("article content main body post entry story text page".split())
+#: Of those, the ones that may stand in the name of a part of the article, and the ones that
+#: also mark an article or main element (a reader's comment, an advert) as none.
+MILD_NAMES = frozenset("header masthead more popular legal reader page banner".split())
+FALSE_ARTICLE = frozenset("ad ads advert advertisement sponsored promo promoted teaser related recommended comment comments reply replies response responses".split())
+NEGATION = frozenset("has with no without".split())
+LEGAL = re.compile(r"©|\(c\) |copyright\b|all rights reserved", re.I)
 SPACES = re.compile(r"\s+")
 
 #: Costs of the terminals and edges; the containers outweigh any sum of smoothness a block can meet.
 CONTAINER = 8.0
-NEXT_EDGE = 0.3
-NEAR_EDGE = 0.5
+NEXT_EDGE = 0.2
+NEAR_EDGE = 0.3
 
 
 @dataclass
@@ -77,13 +83,19 @@ def _standing(tag: str, attributes: str, above: float) -> float:
         return -CONTAINER
     names: set[str] = set()
     for m in NAMES.finditer(attributes) if attributes else ():
-        names.update(p.lower() for p in PART.findall(m[1]))
-    if tag in BOILERPLATE_TAGS or names & BAD_NAMES and tag not in ("body", "html", "article", "main") and not (above > 0 and names & GOOD_NAMES):
+        for token in m[1].strip("\"'").split():
+            parts = [p.lower() for p in PART.findall(token)]
+            if parts and parts[0] not in NEGATION:
+                names.update(parts)
+    if tag in CONTENT_TAGS:
+        return -CONTAINER if names & FALSE_ARTICLE else CONTAINER
+    bad = names & BAD_NAMES if tag not in ("body", "html") else set()
+    if above > 0 and names & GOOD_NAMES and bad <= MILD_NAMES:
+        bad = set()
+    if tag in BOILERPLATE_TAGS or bad:
         return -CONTAINER
     if tag == "header":
         return above if above > 0 else -CONTAINER
-    if tag in CONTENT_TAGS:
-        return CONTAINER
     if names & GOOD_NAMES:
         return max(above, CONTAINER / 4)
     return above
@@ -179,7 +191,8 @@ def costs(block: Block, marked: bool) -> tuple[float, float]:
     size = len(block.text)
     score = block.inside
     if not marked or block.inside:
-        score += min(2.0, size / 100) - 3.0 * min(1.0, block.linked / max(1, size)) + (0.5 if block.heading else 0.0)
+        score += 1.0 + min(2.0, size / 100) - 4.0 * min(1.0, block.linked / max(1, size)) + (0.5 if block.heading else 0.0)
+        score -= 3.0 if size < 200 and LEGAL.match(block.text) else 0.0
     if marked and block.inside == 0:
         score -= CONTAINER / 2
     return max(score, 0.0), max(-score, 0.0)

@@ -124,6 +124,22 @@ def test_html_without_article():
     assert html_text.main_text(page)[0] == f"{text.strip()}\nShort."
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Body.</p><div class='article-comments'>A comment.</div></article><article class=comment>Me too.</article>", "Body."),
+        ("<body class='has-sidebar'><main class='with-header'><p>Body.</p></main><div id=sidebar>x</div></body>", "Body."),
+        ("<div class='wrapper has-sidebar'><div class='entry-content'><p>Body.</p></div></div><div id='disqus_thread'>No.</div>", "Body."),
+        ("<article><div class='page-header'><h1>Title</h1></div><p>Body.</p><div class='adBox'>Buy</div><aside>x</aside></article>", "Title\nBody."),
+        ("<div role=navigation>Menu</div><p>Body.</p><div class=notice>Notice</div>", "Body."),
+        ("<article><p>One<p>Two<div hidden>no</div><div style='display: none'>no</div><table><tr><td>a<td>b</table></article>", "One\nTwo\na\nb"),
+        ("<article><p>a&nbsp;&nbsp;b\n c</p><p> &lt;p&gt; </p></article>", "a b c\n<p>"),
+    ],
+)
+def test_html_parts(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<", ">", "<!--", "-->", "<a href='", "'", '"', "text", "&amp;", "&#x", "<script>", "</script>", "<b>", "<td>", "</", "<br/>", "<article>", "<nav class=x>"]), max_size=14))
 def test_html_never_fails(parts):
