@@ -74,6 +74,23 @@ CASES: dict[str, tuple[str, list[tuple]]] = {
         ("t3", "active", "started", "interrupted", False, "interrupted_or_unknown", [], None), ("t4", "active", "started", "completed", True, "eligible", ["a.md"], None),
         ("t5", "active", "started", "completed", False, "paused", [], None), ("t6", "active", "started", "completed", False, None, [], "binary_file"), ("t7", "active", "started", "unknown", True, "interrupted_or_unknown", [], None),
     ]),
+    "begins": ("id string, app string, session string", [
+        ("t1", "manual", None), ("t9", "manual", None), ("t9b", "robot", None), ("bad id", "manual", None), ("t9c", "manual", "bad session"), ("t9d", None, ""), ("x" * 155, "manual", "s"), ("t2", "robot", None),
+    ]),
+    "states": ("id string, seq bigint, push_status string", [("t1", 5, "verified"), ("t2", 9, "failed"), ("t3", 7, "pending"), ("t4", 1, None)]),
+    "quiet_states": ("id string, seq bigint, push_status string", [("t1", 5, "verified"), ("t4", 1, "disabled")]),
+    "note_requests": ("id string, status string, summary string, evidence string, remaining string, next_step string", [
+        ("t1", "active", " did  this ", "saw | that", "<none>", "stop"), ("t2", "completed", "a", "b", "c", "d"), ("t3", "active", "a", "", "c", "d"), ("t4", "active", "a", "me@example.org", "", "d"),
+        ("t5", "active", "a", "b", "c", None), ("t6", "active", "a", "b", SECRET_LINE, "me@example.org"), ("t7", "active", "a", "b", "c", "010-1234-5678"),
+    ]),
+    "dirty_lists": ("id int, dirty array<string>, handoff string, at_head string, at_hand string", [
+        (1, ["h.md", "b.md", "a.md"], "h.md", "x<!-- managed:begin -->1<!-- managed:end -->y", "x<!-- managed:begin -->22<!-- managed:end -->y"),
+        (2, ["h.md", "a.md"], "h.md", "x<!-- managed:begin -->1<!-- managed:end -->y", "z<!-- managed:begin -->1<!-- managed:end -->y"), (3, ["h.md"], "h.md", "x", "x"), (4, [], "h.md", None, None),
+    ]),
+    "bodies": ("seq bigint, body string", [
+        (1, '{"id": "t1", "status": "active", "baseline": {"a.md": "1", "n.md": null}, "claimed": []}'), (2, '{"id": "t1", "status": "completed", "claimed": ["a.md"], "push_attempts": 2, "push_status": "failed"}'),
+        (3, '{"id": "t2", "status": "active", "notes": {"summary": "s", "evidence": "e", "remaining": "r", "next_step": "n"}}'),
+    ]),
     "policies": ("expected_root string, handoff string, tracked_paths array<string>, approved_new_paths array<string>, max_file_bytes bigint, push_enabled boolean", [
         ("/work/here", "h.md", ["a.md"], ["n.md"], 10, True), ("/work/there", "h.md", ["a.md"], None, None, None), (None, "h.md", [], None, None, False),
     ]),

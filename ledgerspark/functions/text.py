@@ -98,3 +98,21 @@ def nul_triples(text: Column) -> Column:
     n = F.floor(F.size(parts) / 3).cast("int")
     pick = lambda k: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(parts, i * 3 + k))
     return F.when(n > 0, F.map_from_arrays(pick(1), pick(2))).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def now() -> Column:
+    """UTC in whole seconds, as the log writes times; needs a session in UTC."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def dirty_paths(dirty: Column, handoff: Column, at_head: Column, at_hand: Column) -> Column:
+    """The changed paths, sorted; the hand-off document does not count if only its managed region changed."""
+    same = outside_region(without_bom(at_head)).eqNullSafe(outside_region(without_bom(at_hand))) & outside_region(without_bom(at_head)).isNotNull()
+    rest = F.when(same, F.array_remove(dirty, handoff)).otherwise(dirty)
+    return F.array_sort(F.array_distinct(rest))
+
+
+def filled_region(text: Column, body: Column, start: str = REGION_START, end: str = REGION_END) -> Column:
+    """The text with ``body`` between its markers; null if they are not in order."""
+    fine = region_state(text, start, end) == "ok"
+    return F.when(fine, F.concat(F.substring_index(text, start, 1), F.lit(start + "\n\n"), body, F.lit("\n\n" + end), F.substring_index(text, end, -1)))

@@ -62,3 +62,8 @@ def begin(requests: DataFrame, state: DataFrame, key: str, stored: Sequence[str]
     known = state.select(key, *[F.col(c).alias(f"old_{c}") for c in stored], F.lit(True).alias("known"))
     joined = requests.join(known, key, "left").withColumn("existing", F.coalesce("known", F.lit(False)))
     return joined.select(key, "existing", *[F.when(F.col("existing"), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in stored])
+
+
+def decoded(log: DataFrame, schema: str) -> DataFrame:
+    """The log with its JSON ``body`` as a typed struct ``task``; nulls in maps stay, keys not yet set are null."""
+    return log.withColumn("task", F.from_json("body", schema)).drop("body")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import path_class
-from ..functions.text import has_secret
+from ..functions.paths import event_ident_fits, is_ident, path_class
+from ..functions.text import has_secret, note_problem, note_shown
+from ..operators.ledger import first_pending
 from ..operators.path_sets import differing, paths
 
 #: Names of the branches on which tasks may work.
@@ -35,6 +36,38 @@ def overlaps(tasks: DataFrame, bits: int = 20) -> DataFrame:
     return joined.select("id", (F.coalesce(meets[0], F.lit(False)) | F.coalesce(meets[1], F.lit(False))).alias("overlap"))
 
 
+def begin_audit(requests: DataFrame, state: DataFrame, apps: tuple[str, ...]) -> DataFrame:
+    """``id`` and ``result`` of requests to begin: a refusal, ``existing`` or ``begins``.
+
+    ``requests``: id, app, session (null: the id). ``state``: latest tasks (id,
+    seq, push_status). A task that exists is answered before a pending one refuses.
+    """
+    pending = first_pending(state, "id", "push_status").select(F.col("error").alias("pending"))
+    known = state.select("id", F.lit(True).alias("known"))
+    joined = requests.join(known, "id", "left").join(F.broadcast(pending), F.lit(True), "left")
+    result = (
+        F.when(~is_ident(F.col("id")) | ~is_ident(F.coalesce(F.when(F.col("session") != "", F.col("session")), F.col("id"))), F.lit("invalid_identifier"))
+        .when(~F.coalesce(F.col("app").isin(*apps), F.lit(False)), F.lit("unknown_app"))
+        .when(F.col("known"), F.lit("existing"))
+        .when(F.col("pending").isNotNull(), F.col("pending"))
+        .when(~event_ident_fits(F.col("id"), "begin"), F.lit("invalid_identifier"))
+        .otherwise(F.lit("begins"))
+    )
+    return joined.select("id", result.alias("result"))
+
+
+NOTE_FIELDS = ("summary", "evidence", "remaining", "next_step")
+
+
+def record_notes(requests: DataFrame) -> DataFrame:
+    """``id``, ``result`` and the notes as shown. Columns: id, status and the four fields; the
+    first field with a fault refuses all."""
+    fault = F.coalesce(*[note_problem(F.coalesce(F.col(c), F.lit(""))) for c in NOTE_FIELDS])
+    result = F.when(F.col("status") != "active", F.lit("task_not_active")).otherwise(F.coalesce(fault, F.lit("notes_recorded")))
+    out = requests.withColumn("result", result)
+    return out.select("id", "result", *[F.when(F.col("result") == "notes_recorded", note_shown(F.col(c))).alias(c) for c in NOTE_FIELDS])
+
+
 def claim_audit(requests: DataFrame) -> DataFrame:
     """``result`` of each request: the first refusal in the order of its paths, or ``claimed``
     and then all paths of the task, sorted.

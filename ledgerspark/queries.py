@@ -13,7 +13,7 @@ from .functions import text as X
 from .operators import ledger as L
 from .operators import path_sets as S
 from .plans import decide, publish, report
-from .sources.files import policy_fields
+from .sources.files import TASK, policy_fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -379,3 +379,49 @@ def policy_read(spark, d):
     raw = table(spark, "policies").withColumn("push", F.struct(F.col("push_enabled").alias("enabled"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("branch"))).drop("push_enabled")
     out = policy_fields(raw, "/work/here")
     return out.withColumns({c: F.array_join(c, ",") for c in ("tracked_paths", "approved_new_paths")})
+
+
+_BEGIN = """SELECT r.id, CASE WHEN NOT regexp_full_match(r.id, '[A-Za-z0-9_.:@-]{{1,160}}') OR NOT regexp_full_match(coalesce(nullif(session, ''), r.id), '[A-Za-z0-9_.:@-]{{1,160}}') THEN 'invalid_identifier'
+  WHEN coalesce(app, '') NOT IN ('agent', 'manual') THEN 'unknown_app' WHEN s.id IS NOT NULL THEN 'existing' WHEN p.id IS NOT NULL THEN 'pending_task_retry_push:' || p.id
+  WHEN length(r.id) > 154 THEN 'invalid_identifier' ELSE 'begins' END AS result
+FROM {0} r LEFT JOIN {1} s USING (id) LEFT JOIN (SELECT id FROM {1} WHERE push_status IN ('pending', 'failed', 'unknown') ORDER BY seq LIMIT 1) p ON true"""
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, * FROM ({_BEGIN.format(values('begins'), values(s))})" for k, s in enumerate(("states", "quiet_states"))))
+def begin_audit(spark, d):
+    found = [decide.begin_audit(table(spark, "begins"), table(spark, s), ("agent", "manual")).select(F.lit(k).alias("k"), "*") for k, s in enumerate(("states", "quiet_states"))]
+    return found[0].unionByName(found[1])
+
+
+_FIELDS = decide.NOTE_FIELDS
+_FAULT = ", ".join(
+    f"""CASE WHEN trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')) = '' OR length({c}) > 600 OR regexp_matches({c}, '{_SECRET}') THEN 'note_missing_too_long_or_possible_secret' WHEN regexp_matches({c}, '{_CONTACT}') THEN 'note_contains_personal_contact' END"""
+    for c in _FIELDS
+)
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN status <> 'active' THEN 'task_not_active' ELSE coalesce({_FAULT}, 'notes_recorded') END AS result FROM {values('note_requests')})
+SELECT id, result, {', '.join(f"CASE WHEN result = 'notes_recorded' THEN {_NOTE.replace('text', c)} END AS {c}" for c in _FIELDS)} FROM r""")
+def note_record(spark, d):
+    return decide.record_notes(table(spark, "note_requests"))
+
+
+@query(f"""SELECT id, array_to_string(list_sort(CASE WHEN regexp_replace(at_head, 'begin -->.*<!-- managed:end', '') = regexp_replace(at_hand, 'begin -->.*<!-- managed:end', '') AND contains(at_head, 'managed:begin')
+  THEN list_filter(dirty, lambda x: x <> handoff) ELSE dirty END), ',') AS dirty FROM {values('dirty_lists')}""")
+def dirty_exemption(spark, d):
+    t = table(spark, "dirty_lists")
+    return t.select("id", F.array_join(X.dirty_paths(S.paths("dirty"), F.col("handoff"), F.col("at_head"), F.col("at_hand")), ",").alias("dirty"))
+
+
+@query(f"""SELECT json_extract_string(body, '$.id') AS id, max(seq) AS seq, arg_max(json_extract_string(body, '$.status'), seq) AS status, arg_max(coalesce(CAST(json_extract(body, '$.push_attempts') AS INTEGER), 0), seq) AS push_attempts,
+  arg_max(coalesce(json_extract_string(body, '$.notes.summary'), ''), seq) AS summary FROM {values('bodies')} GROUP BY ALL""")
+def task_bodies(spark, d):
+    log = L.decoded(table(spark, "bodies"), TASK).select("seq", F.col("task.id").alias("id"), "task")
+    state = L.latest(log, "id")
+    return state.select("id", "seq", "task.status", F.coalesce("task.push_attempts", F.lit(0)).alias("push_attempts"), F.coalesce("task.notes.summary", F.lit("")).alias("summary"))
+
+
+@query(f"""SELECT id, CASE WHEN len(string_split(text, '<!-- managed:begin -->')) = 2 AND len(string_split(text, '<!-- managed:end -->')) = 2 AND NOT regexp_matches(text, '(?s)end -->.*begin -->')
+  THEN string_split(text, '<!-- managed:begin -->')[1] || '<!-- managed:begin -->' || chr(10) || chr(10) || 'lines' || chr(10) || chr(10) || '<!-- managed:end -->' || string_split(text, '<!-- managed:end -->')[2] END AS text FROM {values('regions')}""")
+def report_in_place(spark, d):
+    return table(spark, "regions").select("id", X.filled_region(F.col("text"), F.lit("lines")).alias("text"))

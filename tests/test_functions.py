@@ -94,3 +94,14 @@ def test_idents(spark):
     assert column(spark, ["x" * n for n in lengths], lambda v: P.event_ident_fits(v, "begin")) == [True, True, False]
     assert column(spark, ["x" * n for n in lengths], lambda v: P.event_ident_fits(v, "finish")) == [True, False, False]
     assert column(spark, ["t" * 60], lambda v: P.commit_message(F.lit("app"), v)) == ["research: app task " + "t" * 48 + "\n"]
+
+
+def test_now(spark):
+    import re
+
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00", spark.range(1).select(X.now()).first()[0])
+
+
+def test_filled_region_changes_nothing_else(spark):
+    s, e = X.REGION_START, X.REGION_END
+    assert column(spark, [f"a{s}old{e}b", "none"], lambda v: X.filled_region(v, F.lit("new"))) == [f"a{s}\n\nnew\n\n{e}b", None]

@@ -99,3 +99,14 @@ def test_top_k_and_folds_stay_cheap(spark):
     log = spark.range(100).selectExpr("id AS seq", "id % 7 AS k", "id AS v")
     plan = L.most_recent(L.latest(log, "k"), F.desc("seq"))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_begin_and_notes(spark):
+    apps = ("agent", "manual")
+    found = {r.id: r.result for r in decide.begin_audit(table(spark, "begins"), table(spark, "states"), apps).collect()}
+    assert found["t1"] == "existing" and found["t9"] == "pending_task_retry_push:t3" and found["t2"] == "unknown_app" and found["bad id"] == "invalid_identifier"
+    quiet = {r.id: r.result for r in decide.begin_audit(table(spark, "begins"), table(spark, "quiet_states"), apps).collect()}
+    assert quiet["t9"] == "begins" and quiet["x" * 155] == "invalid_identifier" and quiet["t9d"] == "unknown_app"
+    notes = {r.id: r for r in decide.record_notes(table(spark, "note_requests")).collect()}
+    assert (notes["t1"].summary, notes["t1"].evidence, notes["t1"].remaining) == ("did this", "saw / that", "&lt;none&gt;")
+    assert notes["t4"].result == "note_contains_personal_contact" and notes["t6"].result == "note_missing_too_long_or_possible_secret" and notes["t6"].summary is None
