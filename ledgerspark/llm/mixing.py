@@ -130,31 +130,29 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], most: int
     return out
 
 
-def mix(
-    docs: DataFrame,
-    scratch: Scratch,
-    membership: Column,
-    text: str = "text",
-    ident: str = "doc_id",
-    weights: Sequence[int] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST,
-    seed: str = SEED,
-) -> DataFrame:
-    """For each row: ``_f``, ``_r``, ``doc_id``, ``sources``, ``size`` and ``taken`` (tokens, repeats counted).
+def _pattern(membership: Column) -> Column:
+    """The sources of a row as a key: sorted, each once."""
+    return F.to_json(F.array_sort(F.array_distinct(membership)))
 
-    ``membership`` is the array of sources of a row (null is a source of its
-    own). Sizes are words between white space; a null text has none. Whole
-    documents are taken, 0 to ``most`` times each; a pattern's total is off its
-    flow by no more than the best single document leaves. Only sums by pattern
-    (the sets of sources that occur) come to the driver. Rows of the same id
-    count apart. An empty table gives an empty result.
-    """
+
+def _place(ident: Column, seed: str) -> Column:
+    """Where a row stands in the seeded order; ties go by id, then key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
+
+
+#: A row's place in its pattern's order.
+ORDER = "struct(place, doc_id, _f, _r)"
+
+
+def plan_mix(
+    docs: DataFrame, scratch: Scratch, membership: Column, text: str, ident: str, weights: Sequence[int], share: float, most: int, seed: str
+) -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and a row per pattern that fixes what is taken: ``passes`` over all its
+    documents, once more for those up to ``bound`` in the seeded order and for ``extra``."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     sized = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "sources": F.array_sort(F.array_distinct(membership)), "size": words})
-    sized = sized.withColumn("pattern", F.to_json("sources"))
-    sized = scratch.write(sized.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sized")
+    sized = scratch.write(sized.withColumns({"pattern": _pattern(F.col("sources")), "place": _place(F.col("doc_id"), seed)}), "sized")
     rows = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     patterns = {tuple(r.sources): r["size"] for r in rows}
     names = {tuple(r.sources): r.pattern for r in rows}
@@ -186,23 +184,56 @@ def mix(
     edge = placed.where("before <= rest and before + range_size > rest")
     up_to = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "range").orderBy("place", "doc_id", "_f", "_r").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("up_to", up_to).withColumn("first", F.col("up_to") <= F.col("rest")).drop("up_to")
-    chosen = scratch.write(whole.unionByName(none).unionByName(edge).select("_f", "_r", "doc_id", "sources", "pattern", "size", "place", "passes", "rest", "target", "source_size", "first"), "chosen")
+    chosen = scratch.write(whole.unionByName(none).unionByName(edge).select("_f", "_r", "doc_id", "pattern", "size", "place", "rest", "first"), "chosen")
 
     # Of the others, the document that best fills what is then left is taken too.
     filled = chosen.groupBy("pattern").agg(F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("filled"), F.max("rest").alias("all_rest")).withColumn("gap", F.col("all_rest") - F.col("filled"))
     small = F.broadcast(filled) if few else filled
     others = chosen.where(~F.col("first")).join(small, "pattern").where("abs(size - gap) < gap")
-    best = others.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place", "doc_id", "_f", "_r")).alias("best")).select(F.col("best._f").alias("_f"), F.col("best._r").alias("_r"), F.lit(True).alias("extra"))
-    best = F.broadcast(best) if few else best
-    times = F.col("passes") + (F.col("first") | F.coalesce("extra", F.lit(False))).cast("long")
-    return chosen.join(best, ["_f", "_r"], "left").select("_f", "_r", "doc_id", "sources", "size", "source_size", "target", (F.col("size") * times).alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).alias("times"))
+    best = others.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.expr(ORDER).alias("at"))).alias("best")).select("pattern", F.col("best.at").alias("extra"))
+    bounds = chosen.where("first").groupBy("pattern").agg(F.max(F.expr(ORDER)).alias("bound"))
+    cutoffs = plan.join(bounds, "pattern", "left").join(best, "pattern", "left").select("pattern", "passes", "bound", "extra", "target", "source_size")
+    cutoffs = scratch.write(cutoffs, "cutoffs")
+    return sized, F.broadcast(cutoffs) if few else cutoffs
+
+
+#: How often a row is taken, where its pattern's cutoffs are joined to it.
+TIMES = f"passes + cast(coalesce({ORDER} <= bound, false) or coalesce({ORDER} = extra, false) as bigint)"
+
+
+def mix(
+    docs: DataFrame,
+    scratch: Scratch,
+    membership: Column,
+    text: str = "text",
+    ident: str = "doc_id",
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+    seed: str = SEED,
+) -> DataFrame:
+    """For each row: ``_f``, ``_r``, ``doc_id``, ``sources``, ``size`` and ``taken`` (tokens, repeats counted).
+
+    ``membership`` is the array of sources of a row (null is a source of its
+    own). Sizes are words between white space; a null text has none. Whole
+    documents are taken, 0 to ``most`` times each; a pattern's total is off its
+    flow by no more than the best single document leaves. Only sums by pattern
+    (the sets of sources that occur) come to the driver. Rows of the same id
+    count apart. An empty table gives an empty result.
+    """
+    sized, cutoffs = plan_mix(docs, scratch, membership, text, ident, weights, share, most, seed)
+    rows = sized.join(cutoffs, "pattern").withColumn("times", F.when(F.col("size") > 0, F.expr(TIMES)).otherwise(0))
+    return rows.select("_f", "_r", "doc_id", "sources", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def repeat_documents(docs: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    taken = mix(docs, scratch, F.array(F.col(f"`{source}`").cast("string")), text, ident).where("times > 0").select("_f", "_r", "times")
-    rows = with_keys(docs, scratch).join(scratch.write(taken, "taken"), ["_f", "_r"])
-    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    """``docs`` with each row as often as the mix takes it. The cutoffs decide each row where it is read."""
+    member = lambda c: F.array(c.cast("string"))
+    _, cutoffs = plan_mix(docs, scratch, member(F.col(f"`{source}`")), text, ident, WEIGHTS, SHARE, MOST, SEED)
+    own = {"pattern": _pattern(member(F.col(f"row.`{source}`"))), "doc_id": F.col(f"row.`{ident}`").cast("long")}
+    rows = with_keys(docs, scratch).where(F.rlike(F.col(f"row.`{text}`").cast("string"), F.lit(SPACE_WORD))).withColumns(own)
+    rows = rows.withColumn("place", _place(F.col("doc_id"), SEED)).join(cutoffs, "pattern").withColumn("times", F.expr(TIMES)).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
