@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from .common import byte_class, chunks, small_batches, text_buffer
 #: Fixed value: the pre-tokeniser's public pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fragments whose ids a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 SLOT_BITS = 20
 NEVER = 1 << 60
@@ -230,6 +232,14 @@ class ForcedBoundaryBPE:
         return self.token_bytes[shift + np.arange(ends[-1])].tobytes()
 
 
+def _of_worker(spec: bytes) -> ForcedBoundaryBPE:
+    """The one encoder that a Python worker keeps, with its cache, for its next tasks and runs."""
+    slot = sys.modules.setdefault("_ledgerspark_worker", types.ModuleType("_ledgerspark_worker"))
+    if getattr(slot, "spec", None) != spec:
+        slot.bpe, slot.spec = ForcedBoundaryBPE(spec), spec
+    return slot.bpe
+
+
 def default_tokenizer() -> str:
     """The place of the public byte-level vocabulary that the queries use."""
     import public_tokenizers
@@ -248,12 +258,10 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer or default_tokenizer(), "rb") as f:
-        held = spark.sparkContext.broadcast({"spec": f.read()})
+        held = spark.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "bpe" not in held.value:  # a worker keeps it, and its cache, for its next tasks
-            held.value["bpe"] = ForcedBoundaryBPE(held.value["spec"])
-        bpe = held.value["bpe"]
+        bpe = _of_worker(held.value)
         for batch in batches:
             raw, offsets = text_buffer(batch.column(len(keep)))
             for a, b in chunks(offsets):
