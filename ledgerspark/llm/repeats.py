@@ -13,12 +13,15 @@ stretch of text.
    anchor's shard. A shard sorts all suffixes of its stretches by external
    induced sorting with common-prefix values; a window whose common prefix with
    a neighbour reaches the width is a repeat.
-3. Repeated windows are carried back to every stretch like theirs, joined into
+3. An anchor whose different stretches exceed ``HOT`` bytes goes to no shard: its
+   windows are dealt out by their own digests, so equal ones still meet.
+4. Repeated windows are carried back to every stretch like theirs, joined into
    spans of each text, and cut out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,10 @@ from .suffix_sort import repeated_windows
 
 WIDTH = 400
 GRAM = 200
-#: Bytes of stretches in a shard, about; an anchor of more has a larger one.
+#: Bytes of stretches in a shard, about.
 SHARD = 4 << 20
+#: Bytes of different stretches of one anchor that are still sorted in one shard.
+HOT = 1 << 20
 #: Bytes of queues that a shard's sort keeps in memory.
 BUFFER = 32 << 20
 
@@ -114,6 +119,27 @@ def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
     return contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor bigint, cover bigint, low int, high int")
 
 
+def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """For each stretch the windows (runs from its first, ends included) that occur elsewhere, by their digests."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(2).to_pylist()
+            counts = np.array([len(p) - width + 1 for p in parts], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(parts)), counts))
+            at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = pa.array([hashlib.md5(p[a : a + width]).digest() for p, n in zip(parts, counts.tolist()) for a in range(n)], pa.binary())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "cover", "at", "key"])
+
+    windows = scratch.write(contents.mapInArrow(work, "anchor bigint, cover bigint, at int, key binary"), "digests")
+    again = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    found = windows.join(again, "key").groupBy("anchor", "cover").agg(F.collect_list("at").alias("ats"))
+    lows = "array_sort(array_except(ats, transform(ats, x -> x + 1)))"
+    highs = "array_sort(array_except(ats, transform(ats, x -> x - 1)))"
+    return found.select("anchor", "cover", F.expr(f"inline(arrays_zip({lows}, {highs})) as (low, high)"))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``_f``, ``_r`` and ``windows``: the runs (low, high) of windows of each row that start elsewhere too."""
     small_batches(docs.sparkSession)
@@ -126,13 +152,21 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", width:
     # Whole stretches that repeat; others are sorted together with all of the same anchor.
     whole = kinds.where("n > 1").select("anchor", "cover", F.lit(0).alias("low"), (F.col("last") - F.col("first")).alias("high"))
     apart = kinds.where("kinds > 1 and least = 1")
-    total = apart.agg(F.sum(F.col("last") - F.col("first") + width)).first()[0] or 0
-    wanted = apart.groupBy("_f", "_r").agg(F.collect_list(F.struct("anchor", "cover", "n", "first", "last")).alias("wanted"))
-    wanted = scratch.write(wanted, "wanted")
-    texts = only(with_keys(docs, scratch).select("_f", "_r", F.col(f"row.`{text}`").cast("string").alias("text")), wanted)
-    contents = _contents(texts.join(wanted, ["_f", "_r"]).select("text", "wanted"), width)
-    shards = max(1, -(-total // SHARD))
-    sorted_ = _sorted_shards(contents, shards, width)
+    size = F.col("last") - F.col("first") + width
+    hot = F.col("kinds") * (2 * width - gram) > HOT  # a stretch has that many bytes at most
+    totals = apart.groupBy(hot.alias("hot")).agg(F.sum(size).alias("size")).collect()
+    total = {r.hot: r["size"] for r in totals}
+
+    def contents(own: DataFrame, name: str) -> DataFrame:
+        wanted = own.groupBy("_f", "_r").agg(F.collect_list(F.struct("anchor", "cover", "n", "first", "last")).alias("wanted"))
+        wanted = scratch.write(wanted, name)
+        texts = only(with_keys(docs, scratch).select("_f", "_r", F.col(f"row.`{text}`").cast("string").alias("text")), wanted)
+        return _contents(texts.join(wanted, ["_f", "_r"]).select("text", "wanted"), width)
+
+    shards = max(1, -(-total.get(False, 0) // SHARD))
+    sorted_ = _sorted_shards(contents(apart.where(~hot), "wanted"), shards, width)
+    if True in total:
+        sorted_ = sorted_.unionByName(_digested(contents(apart.where(hot), "hot"), scratch, width))
     single = kinds.where("n = 1").select("anchor", "cover")
     parts = scratch.write(whole.unionByName(sorted_.join(single, ["anchor", "cover"], "left_semi")), "parts")
     # Back to all places of those stretches.

@@ -186,6 +186,26 @@ def test_repeats(spark, width, gram, shard, monkeypatch):
     assert repeats.cut_repeats(docs.where("false"), scratch(spark), width=width, gram=gram).count() == 0
 
 
+def test_hot_anchor_is_split(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2000, raising=False)
+    seen, sort = [], repeats._sorted_shards
+
+    def spy(contents, shards, width):
+        seen.extend(r["size"] for r in contents.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size")).collect())
+        return sort(contents, shards, width)
+
+    monkeypatch.setattr(repeats, "_sorted_shards", spy)
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, near = part(24), [part(9) for _ in range(3)]
+    texts = [(k, part(rng.randint(0, 30)) + rng.choice(near) + passage + rng.choice(near) + part(rng.randint(0, 30))) for k in range(300)]
+    texts += [(300, passage[:19]), (301, texts[0][1]), (None, texts[1][1]), (302, part(90))]
+    cut = repeats.cut_repeats(frame(spark, texts), scratch(spark), width=20, gram=10)
+    rows = cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, rows)) == cut_strings(texts, 20)
+    assert max(seen, default=0) <= 2000
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(300, None), (400, [0.0] * 8), (500, [float("nan")] * 8), (600, [None] * 8), (700, [1.0]), (None, [1.0] * 8), (100, rng.normal(size=8).tolist()), (800, [float("inf")] + [0.0] * 7)]
