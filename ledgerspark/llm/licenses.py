@@ -4,7 +4,9 @@ Texts are reduced to their lower-cased words with one space between. A notice
 that may have k edits is split into k + 1 pieces; by the pigeonhole principle
 every match holds at least one piece unchanged, so exact search for the pieces
 finds every candidate. The regex library then matches the notice around each
-candidate with at most k errors and gives span and number of errors.
+candidate with at most k errors and gives span and number of errors. A notice's
+firm word, which tells it from another license's, must stand there with few
+edits or none.
 """
 
 from __future__ import annotations
@@ -43,10 +45,16 @@ NOTICES = {
     "mozilla public license": "mpl",
     "all rights reserved": "all-rights-reserved",
 }
+#: Short words that alone tell a notice from other licenses' notices, and the edits allowed in them.
+FIRM = {
+    "released under the mit license": ("mit", 1),
+    "licensed under cc by nc": ("nc", 0),
+}
 #: Letters per allowed edit.
 LETTERS_PER_EDIT = 10
 
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
+IN_WORD = rb"[0-9a-z\x80-\xff]"
 APART = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
@@ -59,12 +67,20 @@ class Notice:
     words: bytes
     label: str
     edits: int
+    firm: tuple[str, int] | None = None
 
     def __post_init__(self) -> None:
         size, n = len(self.words), self.edits + 1
         cut = [size * k // n for k in range(n + 1)]
         self.pieces = [(a, self.words[a:b]) for a, b in zip(cut, cut[1:])]
-        self.pattern = regex.compile(rb"(?b)(?:" + regex.escape(self.words) + rb"){e<=%d}" % self.edits)
+        fuzzy = lambda part, most=self.edits: rb"(?:%s){e<=%d}" % (regex.escape(part), most) if part else b""
+        if self.firm is None:
+            self.pattern = regex.compile(rb"(?b)" + fuzzy(self.words))
+        else:
+            word, most = self.firm[0].encode(), self.firm[1]
+            before, after = re.split(rb"\b" + word + rb"\b", self.words, maxsplit=1)
+            firm = rb"(?<!%s)%s(?!%s)" % (IN_WORD, fuzzy(word, most) if most else word, IN_WORD)
+            self.pattern = regex.compile(rb"(?b)" + fuzzy(before) + firm + fuzzy(after))
 
 
 def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[int, int, int, int]]:
@@ -80,8 +96,8 @@ def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[in
         at = buffer.find(piece)
         while at >= 0:
             k = bisect_right(ends, at)
-            low = max(ends[k - 1] if k else 0, at - offset - notice.edits)
-            high = min(ends[k], at - offset + len(notice.words) + notice.edits)
+            low = max(ends[k - 1] if k else 0, at - offset - notice.edits - 1)
+            high = min(ends[k], at - offset + len(notice.words) + notice.edits + 1)
             if at + len(piece) <= ends[k]:
                 found.add((low, high))
             at = buffer.find(piece, at + 1)
@@ -98,7 +114,8 @@ def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[in
         parts = [(low, high)]
         while parts:  # the best match, then what lies on either side of it
             low, high = parts.pop()
-            if (m := notice.pattern.search(buffer, low, high)) and m.end() > m.start():
+            m = notice.pattern.search(buffer, low, high)
+            if m and m.end() > m.start() and sum(m.fuzzy_counts) <= notice.edits:
                 out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
                 parts += [(m.end(), high), (low, m.start())]
     return out
@@ -107,9 +124,9 @@ def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[in
 class LicenseScanner:
     """Scans blocks of texts."""
 
-    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> None:
+    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, firm: dict[str, tuple[str, int]] | None = None) -> None:
         self.phrases = [(re.compile(APART.join(re.escape(w).encode() for w in p.split())), label) for p, label in phrases.items()]
-        self.notices = [Notice(n.encode(), label, edits_allowed(n)) for n, label in notices.items()]
+        self.notices = [Notice(n.encode(), label, edits_allowed(n), (firm or {}).get(n)) for n, label in notices.items()]
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple]], list[list[tuple]]]:
         """Words of each text; its exact places (first word, label); its fuzzy
@@ -147,7 +164,7 @@ class LicenseScanner:
         return words, exact, fuzzy
 
 
-def license_places(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+def license_places(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, firm: dict[str, tuple[str, int]] = FIRM) -> DataFrame:
     """Columns ``keep`` of every row, ``n_words``, ``exact`` (array of word, label)
     and ``spans`` (array of label, first_word, end_word, errors, similarity).
 
@@ -159,7 +176,7 @@ def license_places(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("errors", pa.int64()), ("similarity", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = LicenseScanner(phrases, notices)
+        scanner = LicenseScanner(phrases, notices, firm)
         dicts = lambda rows, kind: [[dict(zip([f.name for f in kind.value_type], x)) for x in r] for r in rows]
         for batch in batches:
             raw, offsets = text_buffer(batch.column(len(keep)))

@@ -108,6 +108,18 @@ def test_license_rows(spark):
     assert licenses.license_places(docs.where("false")).count() == 0
 
 
+def test_distinguishing_words_of_notices(spark):
+    texts = {
+        "Licensed under CC BY 4.0": set(), "licensed under CC BY-SA": set(), "licensed under CC-BY-ND 4.0": set(), "licensed under cc by ncd": set(),
+        "liicensed unnder cc by ncd": set(), "Released under the BSD license": set(), "Released under the ISC license": set(),
+        "Licensed under CC BY-NC 4.0": {("cc-by-nc", 0)}, "licenced under CC BY-NC-SA": {("cc-by-nc", 1)}, "licenced undr cc by nc": {("cc-by-nc", 2)}, "lcenced undr cc by nc": set(),
+        "Relaesed under the MIT license": {("mit", 2)}, "releazed under teh MIT license": {("mit", 3)}, "released under the mt license": {("mit", 1)}, "released under the mpl license": set(), "gnu leser general public license": {("lgpl", 1)}, "gnu lesser genral public license": {("lgpl", 1)},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: {(s.label, s.errors) for s in r.spans} for r in licenses.license_places(docs).collect()}
+    assert [out[k] for k in range(len(texts))] == list(texts.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="ad">Buy this now, it is long enough to look like text, really it is.</div><div id=cookie-banner>We use cookies.</div>
 <article><h1>Title &amp; more</h1><p>First  line<b> bold</b></p><!-- no --><p>Short.</p><p>Last &eacute;&#8364;</p><form>Search</form>
