@@ -24,8 +24,11 @@ from .common import small_batches
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas audio video xmp noembed noframes".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split()
+)
+RAW = frozenset("script style textarea title template iframe svg annotation annotation-xml select object canvas audio video xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the same set, up to the nearest holder.
 SIBLINGS = {
@@ -37,7 +40,7 @@ SIBLINGS = {
     **dict.fromkeys(("option", "optgroup"), (frozenset(("option", "optgroup")), frozenset(("select", "datalist")))),
 }
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAMES = re.compile(r"(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden)))", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset select label".split())
@@ -56,12 +59,17 @@ GOOD_NAMES = frozenset("article content main body post entry story text page".sp
 #: also mark an article or main element (a reader's comment, an advert) as none.
 MILD_NAMES = frozenset("header masthead more popular legal reader page banner".split())
 FALSE_ARTICLE = frozenset("ad ads advert advertisement sponsored promo promoted teaser related recommended comment comments reply replies response responses".split())
+#: Names that inside an article may also be those of its own sections: judged by their text.
+AMBIGUOUS = frozenset("discussion response responses feedback related recommendations search more privacy legal disclaimer notice notices".split())
+#: Headings and paragraphs; like inline elements they are not judged by their ids, which are often slugs.
+OF_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 NEGATION = frozenset("has with no without".split())
 LEGAL = re.compile(r"©|\(c\) |copyright\b|all rights reserved", re.I)
 SPACES = re.compile(r"\s+")
 
 #: Costs of the terminals and edges; the containers outweigh any sum of smoothness a block can meet.
 CONTAINER = 8.0
+WEAK = -2.5
 NEXT_EDGE = 0.2
 NEAR_EDGE = 0.3
 
@@ -73,6 +81,8 @@ class Block:
     path: tuple[int, ...]  # elements around it, outermost first
     inside: float  # positive inside article or main, negative inside boilerplate
     heading: bool
+    part: int = 0  # the outermost element around it that is judged by its text
+    outside: bool = False  # that element is in no article
 
 
 def _standing(tag: str, attributes: str, above: float) -> float:
@@ -83,17 +93,23 @@ def _standing(tag: str, attributes: str, above: float) -> float:
         return -CONTAINER
     names: set[str] = set()
     for m in NAMES.finditer(attributes) if attributes else ():
-        for token in m[1].strip("\"'").split():
+        if m[1].lower() == "id" and (tag in OF_TEXT or tag in INLINE):
+            continue
+        for token in m[2].strip("\"'").split():
             parts = [p.lower() for p in PART.findall(token)]
             if parts and parts[0] not in NEGATION:
                 names.update(parts)
     if tag in CONTENT_TAGS:
-        return -CONTAINER if names & FALSE_ARTICLE else CONTAINER
+        return -CONTAINER if names & FALSE_ARTICLE else above if above == WEAK else CONTAINER
+    if tag == "noscript":
+        return WEAK
     bad = names & BAD_NAMES if tag not in ("body", "html") else set()
     if above > 0 and names & GOOD_NAMES and bad <= MILD_NAMES:
         bad = set()
-    if tag in BOILERPLATE_TAGS or bad:
+    if tag in BOILERPLATE_TAGS or bad and (above <= 0 and above != WEAK or bad - AMBIGUOUS):
         return -CONTAINER
+    if bad or above == WEAK:
+        return WEAK
     if tag == "header":
         return above if above > 0 else -CONTAINER
     if names & GOOD_NAMES:
@@ -116,7 +132,9 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p) for p, a in parts if a)
                 heading = any(len(n) == 2 and n[0] == "h" and n[1].isdigit() for n, _, _ in stack)
-                out.append(Block(text, linked, tuple(k for n, k, _ in stack if n not in INLINE), stack[-1][2], heading))
+                part = next((k for _, k, s in stack if s == WEAK), 0) if stack[-1][2] == WEAK else 0
+                outside = part > 0 and all(s < CONTAINER for _, _, s in stack)
+                out.append(Block(text, linked, tuple(k for n, k, _ in stack if n not in INLINE), stack[-1][2], heading, part, outside))
             parts = []
 
     def pop_to(depth: int) -> None:
@@ -183,17 +201,18 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def costs(block: Block, marked: bool) -> tuple[float, float]:
+def costs(block: Block, marked: bool, whole: tuple[int, int] | None = None) -> tuple[float, float]:
     """The costs of calling a block boilerplate and of calling it content.
 
-    ``marked``: the page has an article or main element.
+    ``marked``: the page has an article or main element. ``whole``: the length
+    of all text in the block's part, and of what is linked there.
     """
-    size = len(block.text)
+    size, linked = whole or (len(block.text), block.linked)
     score = block.inside
     if not marked or block.inside:
-        score += 1.0 + min(2.0, size / 100) - 4.0 * min(1.0, block.linked / max(1, size)) + (0.5 if block.heading else 0.0)
+        score += 1.0 + min(2.0, size / 100) - 4.0 * min(1.0, linked / max(1, size)) + (0.5 if block.heading and not whole else 0.0)
         score -= 3.0 if size < 200 and LEGAL.match(block.text) else 0.0
-    if marked and block.inside == 0:
+    if marked and (block.inside == 0 or block.outside):
         score -= CONTAINER / 2
     return max(score, 0.0), max(-score, 0.0)
 
@@ -268,7 +287,12 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     if not blocks:
         return "", 0, 0
     marked = any(b.inside >= CONTAINER for b in blocks)
-    terminal = [costs(b, marked) for b in blocks]
+    wholes: dict[int, tuple[int, int]] = {}
+    for b in blocks:
+        if b.part:
+            size, linked = wholes.get(b.part, (0, 0))
+            wholes[b.part] = (size + len(b.text), linked + b.linked)
+    terminal = [costs(b, marked, wholes.get(b.part)) for b in blocks]
     edges: list[tuple[int, int, float]] = []
     near: dict[int, int] = {}
     for k, b in enumerate(blocks):

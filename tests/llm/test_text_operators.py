@@ -152,6 +152,27 @@ def test_html_parts(page, text):
     assert html_text.main_text(page)[0] == text
 
 
+LONG = "This section has a long text of its own that says something. " * 5
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h2 id='search'>Search</h2><p id=related-work>Body.</p><p><b id=feedback>Bold</b> <span id='ad'>word</span></p></article>", "Search\nBody.\nBold word"),
+        ("<article><div data-id='ad' data-class=promo><p>Body.</p></div></article>", "Body."),
+        (f"<article><p>Body.</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p><p>Short.</p></section><p>End.</p></article>", f"Body.\nDiscussion\n{LONG.strip()}\nShort.\nEnd."),
+        (f"<main><section class=response><p>{LONG}</p></section></main>", LONG.strip()),
+        ("<article><p>Body.</p><div class=related><h3>Related</h3><ul><li><a href=1>One more story</a><li><a href=2>Another story</a></ul></div></article>", "Body."),
+        (f"<article><p>Body.</p><div class=related><article><a href=1>{LONG}</a></article></div><div id=search>Search</div></article>", "Body."),
+        (f"<article><p>Body.</p><section id=discussion><div class=comment>{LONG}</div></section></article><div class=related>{LONG}</div>", "Body."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> holds.</p></article>", "So x=2 holds."),
+        (f"<article><p>Body.</p><noscript><p>{LONG}</p></noscript><noscript>Please enable JavaScript.</noscript></article><noscript>{LONG}</noscript>", f"Body.\n{LONG.strip()}"),
+    ],
+)
+def test_html_ambiguous_parts(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<", ">", "<!--", "-->", "<a href='", "'", '"', "text", "&amp;", "&#x", "<script>", "</script>", "<b>", "<td>", "</", "<br/>", "<article>", "<nav class=x>"]), max_size=14))
 def test_html_never_fails(parts):
