@@ -34,6 +34,8 @@ PHRASES = {
 #: Short notices that are searched with edits, and their labels.
 NOTICES = {
     "gnu general public license": "gpl",
+    "apache license": "apache",
+    "mit license": "mit",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "licensed under the apache license version 2 0": "apache",
@@ -46,7 +48,10 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 #: Short words that alone tell a notice from other licenses' notices, and the edits allowed in them.
+#: A notice that begins with its word also ends at the end of a word.
 FIRM = {
+    "apache license": ("apache", 1),
+    "mit license": ("mit", 0),
     "released under the mit license": ("mit", 1),
     "licensed under cc by nc": ("nc", 0),
 }
@@ -80,7 +85,8 @@ class Notice:
             word, most = self.firm[0].encode(), self.firm[1]
             before, after = re.split(rb"\b" + word + rb"\b", self.words, maxsplit=1)
             firm = rb"(?<!%s)%s(?!%s)" % (IN_WORD, fuzzy(word, most) if most else word, IN_WORD)
-            self.pattern = regex.compile(rb"(?b)" + fuzzy(before) + firm + fuzzy(after))
+            end = b"" if before else rb"(?!%s)" % IN_WORD
+            self.pattern = regex.compile(rb"(?b)" + fuzzy(before) + firm + fuzzy(after) + end)
 
 
 def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[int, int, int, int]]:

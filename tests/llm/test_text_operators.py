@@ -113,7 +113,17 @@ def test_distinguishing_words_of_notices(spark):
         "Licensed under CC BY 4.0": set(), "licensed under CC BY-SA": set(), "licensed under CC-BY-ND 4.0": set(), "licensed under cc by ncd": set(),
         "liicensed unnder cc by ncd": set(), "Released under the BSD license": set(), "Released under the ISC license": set(),
         "Licensed under CC BY-NC 4.0": {("cc-by-nc", 0)}, "licenced under CC BY-NC-SA": {("cc-by-nc", 1)}, "licenced undr cc by nc": {("cc-by-nc", 2)}, "lcenced undr cc by nc": set(),
-        "Relaesed under the MIT license": {("mit", 2)}, "releazed under teh MIT license": {("mit", 3)}, "released under the mt license": {("mit", 1)}, "released under the mpl license": set(), "gnu leser general public license": {("lgpl", 1)}, "gnu lesser genral public license": {("lgpl", 1)},
+        "Relaesed under the MIT license": {("mit", 2), ("mit", 0)}, "releazed under teh MIT license": {("mit", 3), ("mit", 0)}, "released under the mt license": {("mit", 1)}, "released under the mpl license": set(), "gnu leser general public license": {("lgpl", 1)}, "gnu lesser genral public license": {("lgpl", 1)},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: {(s.label, s.errors) for s in r.spans} for r in licenses.license_places(docs).collect()}
+    assert [out[k] for k in range(len(texts))] == list(texts.values())
+
+
+def test_short_notices_with_an_edit(spark):
+    texts = {
+        "Apache Licence 2.0": {("apache", 1)}, "the Apach License": {("apache", 1)}, "MIT Licence": {("mit", 1)}, "under the MIT License.": {("mit", 0)}, "MIT licensed": {("mit", 1)},
+        "submit license": set(), "bit license": set(), "MIT lessons": set(), "MIT Licnese": set(), "a pache licence": set(), "Apache licensees": set(),
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     out = {r.doc_id: {(s.label, s.errors) for s in r.spans} for r in licenses.license_places(docs).collect()}
