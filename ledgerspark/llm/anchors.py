@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shingles import U, _powers_to, mixed
+from .shingles import U, mixed
 
 #: Bytes of an anchor's own string.
 GRAM = 64
 _RANDOM = np.random.Generator(np.random.PCG64(99)).integers(0, np.iinfo(U).max, (2, 256), dtype=U)
 _HASH_BITS = 36
+#: An odd number and its inverse, for sums of powers over grams.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (_BASE, _INVERSE):
+        steps = np.full(n, b, U)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=U))
+    return out[0], out[1]
 
 
 def window_anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -26,7 +38,7 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int =
         return none, none, none, none.view(U), none.view(U), none.view(U)
     if n >= 1 << (64 - _HASH_BITS):
         raise ValueError("a block of texts is too long for anchors")
-    up, down = _powers_to(n + 1)
+    up, down = _powers(n + 1)
     totals = []
     for table in _RANDOM:
         total = np.zeros(n + 1, U)

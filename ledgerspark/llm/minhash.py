@@ -1,8 +1,8 @@
 """Near-duplicates by MinHash: minima, bands, verification, components.
 
 1. Every text's set of hashed shingles gives ``BANDS * ROWS`` minima of
-   universal hash functions. Texts with equal sets are one class from here on,
-   so groups of copies are never paired.
+   universal hash functions. Texts with equal sets (by a digest of the whole set)
+   are one class from here on, so groups of copies are never paired.
 2. Classes that agree in a band meet in a bucket. Every class is paired with the
    least class that it meets: at most one pair each.
 3. Pairs pass if their sizes allow the similarity and the low bits of their
@@ -10,20 +10,24 @@
    make components.
 4. Only where a bucket still holds several components are members of different
    ones compared, all of them, so no link that a bucket holds is lost to step 2.
-   That happens inside tasks, on cells of bounded size, which pass on nothing
-   but confirmed links that join two components. Then components are made again.
+   Signatures are compared in cells of bounded size: those outside the bucket's
+   greatest component meet all members. Cells pass on the most similar members of
+   each other component, which are confirmed on the full sets; components are
+   made again, and cells pass on more, until none has held anything back.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, keyed, only, small_batches, text_buffer, with_keys, without
+from .common import Scratch, chunks, keyed, only, text_buffer, with_keys, without
 from .components import components
 from .shingles import U, mixed, shingle_sets
 
@@ -33,11 +37,18 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
 SEED = 20240607
-#: Members of a bucket that are compared at once; larger buckets are cut into cells of two such blocks.
+#: Members of a bucket on either side of a cell.
 CELL = 1024
 #: Of 128 low bits of minima, those that may differ: at similarity 0.8 about 13
-#: do, and more than 30 with a chance of 1 in a million.
-MOST_BITS = 30
+#: do, and more than 36 with a chance below 4 in 100 million (Chernoff's bound).
+MOST_BITS = 36
+#: Of 128 low bytes of minima, those that must agree: at similarity 0.8 about 102
+#: do, and less than 74 with a chance below 8 in 100 million (Chernoff's bound).
+LEAST_BYTES = 74
+#: Members of another component that a cell passes on for a member at first, and
+#: the factor by which that grows in each round, until nothing is held back.
+PASSED = 32
+PASSED_GROWTH = 16
 
 
 def hash_functions(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +80,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, scratch: Scratch, text: str, ident: str, words: int) -> DataFrame:
-    """Per row: key, doc_id, n_shingles, two sums over the set, the low bits of its minima, its band keys."""
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-    small_batches(docs.sparkSession)
+    """Per row: key, doc_id, n_shingles, a digest of the set, the low bits and bytes of its minima, its band keys."""
     functions = hash_functions(BANDS * ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,17 +91,16 @@ def signatures(docs: DataFrame, scratch: Scratch, text: str, ident: str, words:
                 hashes, ends = shingle_sets(raw[own[0] : own[-1]], own - own[0], words)
                 least = minima(hashes, ends, functions)
                 sizes = np.diff(np.concatenate([[0], ends]))
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (hashes, mixed(hashes ^ U(SEED)))]
-                sums = [(x[ends] - x[ends - sizes]).view(np.int64) for x in sums]
+                packed, at = hashes.tobytes(), [0, *(ends * 8).tolist()]
+                digests = [hashlib.blake2b(packed[i:j], digest_size=16).digest() for i, j in zip(at, at[1:])]
                 bits = np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64).reshape(len(least), 2)
+                low = least.astype(np.uint8).tobytes()
+                low = [low[i : i + least.shape[1]] for i in range(0, len(low), least.shape[1])]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(least).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in range(3)), *(pa.array(x, pa.int64()) for x in (sizes, *sums, bits[:, 0], bits[:, 1])), keys],
-                    names=["_f", "_r", "doc_id", "n_shingles", "sum1", "sum2", "bits1", "bits2", "bands"],
-                )
+                own_columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, k], pa.int64()) for k in (0, 1)), pa.array(low, pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *own_columns], names=["_f", "_r", "doc_id", "n_shingles", "same", "bits1", "bits2", "low", "bands"])
 
-    longs = ["_f", "_r", "doc_id", "n_shingles", "sum1", "sum2", "bits1", "bits2"]
-    schema = StructType([*(StructField(n, LongType()) for n in longs), StructField("bands", ArrayType(LongType()))])
+    schema = "_f bigint, _r bigint, doc_id bigint, n_shingles bigint, same binary, bits1 bigint, bits2 bigint, low binary, bands array<bigint>"
     rows = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "text": F.col(f"`{text}`").cast("string")})
     return rows.mapInArrow(work, schema).withColumn("node", F.monotonically_increasing_id())
 
@@ -131,68 +138,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u bigint, v bigint")
 
 
-def _cell_links(rows: list[tuple], band: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Confirmed links between members of different components in one cell, as few as join them.
-
-    ``rows``: node, root, n_shingles, bits1, bits2, bands, shingles, block. A pair is
-    left to the first band in which it agrees, and to the cell of its two blocks.
-    """
-    nodes = [r[0] for r in rows]
-    component = np.unique([r[1] for r in rows], return_inverse=True)[1]
-    if component.max() == 0:
-        return
-    sizes = np.array([r[2] for r in rows])
-    bits = np.array([(r[3], r[4]) for r in rows], np.int64).view(U)
-    bands = np.array([r[5] for r in rows])
-    block = np.array([r[7] for r in rows])
-    cut = len(np.unique(block)) > 1
-    for i in range(len(rows) - 1):
-        j = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
-        if cut:
-            j = j[block[j] != block[i]]
-        j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
-        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= MOST_BITS]
-        if len(j):
-            j = j[(bands[j] == bands[i]).argmax(1) == band]
-        mine = np.frombuffer(rows[i][6], U)
-        for k in j.tolist():
-            if component[k] != component[i]:
-                other = np.frombuffer(rows[k][6], U)
-                shared = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
-                if 100 * shared >= percent * (len(mine) + len(other) - shared):
-                    component[component == component[k]] = component[i]
-                    yield nodes[i], nodes[k]
-
-
-def _links_within(rest: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components in each bucket. ``rest``: band, key, n, node, root,
-    n_shingles, bits1, bits2, bands, shingles of the members of buckets with several components."""
-    names = ["node", "root", "n_shingles", "bits1", "bits2", "bands", "shingles", "block"]
+def _cell_pairs(cell: pa.Table, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of members of different components in one cell that may be similar enough, and
+    whether any were held back: a member passes on the ``most`` most similar of each component.
+
+    Columns of ``cell``: node, root, n_shingles, low, outside (of the bucket's greatest component), row."""
+    node, root, size = (cell.column(k).to_numpy() for k in ("node", "root", "n_shingles"))
+    low = text_buffer(cell.column("low"))[0].reshape(len(node), -1)
+    outside, row = (cell.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("outside", "row"))
+    across = np.flatnonzero(~row)
+    us, vs, held_back = [], [], False
+    for i in np.flatnonzero(row).tolist():
+        j = across[(root[across] != root[i]) & (~outside[across] | (node[across] > node[i]))]
+        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+        if not len(j):
+            continue
+        agree = (low[j] == low[i]).sum(1)
+        j, agree = j[agree >= LEAST_BYTES], agree[agree >= LEAST_BYTES]
+        if len(j) > most:
+            order = np.lexsort((node[j], -agree, root[j]))
+            j = j[order]
+            new = np.append(True, root[j][1:] != root[j][:-1])
+            rank = np.arange(len(j)) - np.maximum.accumulate(np.where(new, np.arange(len(j)), 0))
+            held_back |= bool((rank >= most).any())
+            j = j[rank < most]
+        us.append(np.full(len(j), node[i]))
+        vs.append(node[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), held_back
+
+
+def _candidates(known: DataFrame, facts: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (u, v) between components in each bucket, and ``held_back``.
+    ``known``: band, key, node, root of the members of buckets; ``facts``: node, n_shingles, low."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows, links = None, [], []
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            u, v, held_back = _cell_pairs(pa.Table.from_batches(parts), percent, most)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), held_back))], names=["u", "v", "held_back"])
+
+        cell, parts = None, []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for at, row in zip(zip(*columns[:4]), zip(*columns[4:])):
-                if at != cell:
-                    if len(rows) > 1:
-                        links += _cell_links(rows, cell[0], percent)
-                    cell, rows = at, []
-                rows.append(row)
-            if len(links) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
-                links = []
-        if len(rows) > 1:
-            links += _cell_links(rows, cell[0], percent)
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
-
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    where = ["band", "key", "low", "high"]
-    return rows.select(*where, *names).repartition(*where).sortWithinPartitions(*where).mapInArrow(work, "u bigint, v bigint")
+            if not len(batch):
+                continue
+            at = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if tuple(at[a]) != cell:
+                    if parts:
+                        yield found(parts)
+                    cell, parts = tuple(at[a]), []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield found(parts)
+
+    roots = known.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = roots.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("great"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = several.select("band", "key", F.col("great.root").alias("great"), F.ceil(F.col("n") / CELL).alias("wide"), F.ceil((F.col("n") - F.col("great.n")) / CELL).alias("high"))
+    rows = known.join(several, ["band", "key"]).withColumn("outside", F.expr("root <> great")).join(facts, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    names = ["band", "key", "y", "x", "node", "root", "n_shingles", "low", "outside"]
+    across = rows.withColumn("x", own("wide")).withColumn("y", F.explode(F.expr("sequence(0L, high - 1)"))).select(*names, F.lit(False).alias("row"))
+    down = rows.where("outside").withColumn("y", own("high")).withColumn("x", F.explode(F.expr("sequence(0L, wide - 1)"))).select(*names, F.lit(True).alias("row"))
+    cells = across.unionByName(down).withColumn("band", F.col("band").cast("long"))
+    where = ["band", "key", "y", "x"]
+    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(work, "u bigint, v bigint, held_back boolean")
 
 
 def _plausible(percent: int):
@@ -212,10 +222,10 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     """
     held = scratch.write(signatures(docs, scratch, text, ident, words), "signatures")
     small = held.where("n_shingles > 0")
-    classes = small.groupBy("sum1", "sum2", "n_shingles").agg(F.min("node").alias("class"))
-    members = scratch.write(small.select("node", "sum1", "sum2", "n_shingles").join(classes, ["sum1", "sum2", "n_shingles"]).select("node", "class"), "members")
+    classes = small.groupBy("same").agg(F.min("node").alias("class"))
+    members = scratch.write(small.select("node", "same").join(classes, "same").select("node", "class"), "members")
     firsts = small.join(members.where("node = class").select("node"), "node", "left_semi")
-    firsts = scratch.write(firsts.select("node", "_f", "_r", "n_shingles", "bits1", "bits2", "bands"), "firsts")
+    firsts = scratch.write(firsts.select("node", "_f", "_r", "n_shingles", "bits1", "bits2", "low", "bands"), "firsts")
     facts = firsts.select("node", "n_shingles", "bits1", "bits2")
     bands = firsts.select("node", F.posexplode("bands").alias("band", "key"))
 
@@ -230,12 +240,15 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     links = scratch.write(_confirmed(stars, sets, percent), "links")
     roots = components(links, scratch, "first")
 
-    known = shared.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_up = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    rest = known.join(mixed_up, ["band", "key"])
-    packed = firsts.select("node", "n_shingles", "bits1", "bits2", "bands").join(sets, "node")
-    more = _links_within(scratch.write(rest, "rest").join(packed, "node"), percent)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, "last")
+    most = PASSED
+    for k in count(1):
+        known = shared.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = scratch.write(_candidates(known, firsts.select("node", "n_shingles", "low"), percent, most), f"pairs-{k}")
+        more = _confirmed(pairs.select("u", "v").distinct(), sets, percent)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, f"round-{k}")
+        if pairs.where("held_back").isEmpty():
+            break
+        most *= PASSED_GROWTH
 
     owned = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     rows = held.select("_f", "_r", "doc_id", "n_shingles", "node").join(owned, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .common import IN_WORD, LOWER
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,13 +21,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, b, U)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U)
-    return _powers[0], _powers[1]
+def _byte_hashes(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each byte string of the buffer: its blocks of eight bytes, mixed in one after the other.
+
+    No polynomial of the bytes: sums of powers modulo 2**64 make long words of a certain shape equal."""
+    out = mixed(sizes.astype(U) * U(_STEPS[1]) + U(1))
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, (len(buffer) + 1, 8), (1, 1))
+    live = np.flatnonzero(sizes <= LONG)
+    at = 0
+    while len(live):
+        left = sizes[live] - at
+        block = np.ascontiguousarray(blocks[starts[live] + at]).view(U)[:, 0]
+        block &= U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U)))
+        out[live] = mixed((out[live] ^ block) * U(_STEPS[0]) + U(at + 1))
+        at += 8
+        live = live[left > 8]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        word = buffer[starts[k] : starts[k] + sizes[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +56,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers_to(len(raw))
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum((low.astype(U) + U(1)) * up[: len(raw)], out=total[1:])
-    hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    hashes = _byte_hashes(low, starts, ends - starts)
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 

@@ -81,9 +81,10 @@ def near_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize("words, cell", [(4, 1024), (5, 3)])
-def test_near(spark, words, cell, monkeypatch):
+@pytest.mark.parametrize("words, cell, passed", [(4, 1024, 32), (5, 3, 1)])
+def test_near(spark, words, cell, passed, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", cell)
+    monkeypatch.setattr(minhash, "PASSED", passed)
     texts = near_texts(random.Random(words))
     docs = frame(spark, texts)
     rows = minhash.near_groups(docs, scratch(spark), words=words).collect()
@@ -92,6 +93,35 @@ def test_near(spark, words, cell, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(r.keeper for r in rows)
 
 
+def test_long_words_that_sums_of_powers_confuse(spark):
+    """A Thue-Morse word and its complement share nothing, whatever the base of a polynomial modulo 2**64."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    texts = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    rows = minhash.near_groups(frame(spark, texts), scratch(spark)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_bucket_of_several_components(spark):
+    """A passage puts many texts in the same buckets, larger than a cell, where they belong to several groups."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    passage, texts = [rng.choice(words) for _ in range(150)], []
+    for family in range(8):
+        base = passage + [rng.choice(words) for _ in range(60)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(150, len(own))] = rng.choice(words)
+            texts.append((len(texts), " ".join(own)))
+    rng.shuffle(texts)
+    before, minhash.CELL, minhash.PASSED = (minhash.CELL, minhash.PASSED), 16, 2
+    try:
+        rows = minhash.near_groups(frame(spark, texts), scratch(spark), words=4).collect()
+    finally:
+        minhash.CELL, minhash.PASSED = before
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == Counter(jaccard_components(texts, 4, 80))
+
+
 def test_near_empty(spark):
     docs = frame(spark, TEXTS).where("false")
     assert minhash.near_groups(docs, scratch(spark)).count() == 0 and minhash.drop_near(docs, scratch(spark)).count() == 0
