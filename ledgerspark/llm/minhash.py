@@ -10,17 +10,16 @@
    make components.
 4. Only where a bucket still holds several components are members of different
    ones compared, all of them, so no link that a bucket holds is lost to step 2.
-   Signatures are compared in cells of bounded size: those outside the bucket's
-   greatest component meet all members. Cells pass on the most similar members of
-   each other component, which are confirmed on the full sets; components are
-   made again, and cells pass on more, until none has held anything back.
+   Cells of bounded size compare signatures first; those outside the bucket's
+   greatest component meet all members. The full sets go only to the members that
+   have a partner there, and the cells then pass on nothing but confirmed links
+   that join two components. Then components are made again.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +36,15 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
 SEED = 20240607
-#: Members of a bucket on either side of a cell.
+#: Members of a bucket on either side of a cell, and shingles of their sets, about.
 CELL = 1024
+CELL_SHINGLES = 1 << 21
 #: Of 128 low bits of minima, those that may differ: at similarity 0.8 about 13
 #: do, and more than 36 with a chance below 4 in 100 million (Chernoff's bound).
 MOST_BITS = 36
 #: Of 128 low bytes of minima, those that must agree: at similarity 0.8 about 102
 #: do, and less than 74 with a chance below 8 in 100 million (Chernoff's bound).
 LEAST_BYTES = 74
-#: Members of another component that a cell passes on for a member at first, and
-#: the factor by which that grows in each round, until nothing is held back.
-PASSED = 32
-PASSED_GROWTH = 16
 
 
 def hash_functions(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -138,71 +134,92 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u bigint, v bigint")
 
 
-def _cell_pairs(cell: pa.Table, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of members of different components in one cell that may be similar enough, and
-    whether any were held back: a member passes on the ``most`` most similar of each component.
-
-    Columns of ``cell``: node, root, n_shingles, low, outside (of the bucket's greatest component), row."""
-    node, root, size = (cell.column(k).to_numpy() for k in ("node", "root", "n_shingles"))
-    low = text_buffer(cell.column("low"))[0].reshape(len(node), -1)
-    outside, row = (cell.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("outside", "row"))
-    across = np.flatnonzero(~row)
-    us, vs, held_back = [], [], False
-    for i in np.flatnonzero(row).tolist():
-        j = across[(root[across] != root[i]) & (~outside[across] | (node[across] > node[i]))]
-        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-        if not len(j):
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (the first four columns), which come one cell after another."""
+    cell, parts = None, []
+    for batch in batches:
+        if not len(batch):
             continue
-        agree = (low[j] == low[i]).sum(1)
-        j, agree = j[agree >= LEAST_BYTES], agree[agree >= LEAST_BYTES]
-        if len(j) > most:
-            order = np.lexsort((node[j], -agree, root[j]))
-            j = j[order]
-            new = np.append(True, root[j][1:] != root[j][:-1])
-            rank = np.arange(len(j)) - np.maximum.accumulate(np.where(new, np.arange(len(j)), 0))
-            held_back |= bool((rank >= most).any())
-            j = j[rank < most]
-        us.append(np.full(len(j), node[i]))
-        vs.append(node[j])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs]), held_back
-
-
-def _candidates(known: DataFrame, facts: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (u, v) between components in each bucket, and ``held_back``.
-    ``known``: band, key, node, root of the members of buckets; ``facts``: node, n_shingles, low."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            u, v, held_back = _cell_pairs(pa.Table.from_batches(parts), percent, most)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), held_back))], names=["u", "v", "held_back"])
-
-        cell, parts = None, []
-        for batch in batches:
-            if not len(batch):
-                continue
-            at = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
-            for a, b in zip(cuts, cuts[1:]):
-                if tuple(at[a]) != cell:
-                    if parts:
-                        yield found(parts)
-                    cell, parts = tuple(at[a]), []
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield found(parts)
-
-    roots = known.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = roots.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("great"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = several.select("band", "key", F.col("great.root").alias("great"), F.ceil(F.col("n") / CELL).alias("wide"), F.ceil((F.col("n") - F.col("great.n")) / CELL).alias("high"))
-    rows = known.join(several, ["band", "key"]).withColumn("outside", F.expr("root <> great")).join(facts, "node")
+        at = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if tuple(at[a]) != cell:
+                if parts:
+                    yield pa.Table.from_batches(parts)
+                cell, parts = tuple(at[a]), []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+class _Cell:
+    """The members of one cell: ``down`` its rows, ``across`` its columns."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        column = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+        self.node, self.size, self.outside, row = map(column, ("node", "n_shingles", "outside", "row"))
+        self.component = np.unique(column("root"), return_inverse=True)[1]
+        self.low = text_buffer(table.column("low"))[0].reshape(len(row), -1)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
+        self.band = table.column("band")[0].as_py()
+        self.down, self.across, self.percent = np.flatnonzero(row), np.flatnonzero(~row), percent
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components across that may be similar enough to one down. Of two
+        outsiders one meets the other, and a pair is left to the first band in which it agrees."""
+        j = self.across[self.component[self.across] != self.component[i]]
+        j = j[~self.outside[j] | (self.node[j] > self.node[i])]
+        j = j[100 * np.minimum(self.size[j], self.size[i]) >= self.percent * np.maximum(self.size[j], self.size[i])]
+        j = j[(self.low[j] == self.low[i]).sum(1) >= LEAST_BYTES]
+        return j[(self.bands[j] == self.bands[i]).argmax(1) == self.band] if len(j) else j
+
+
+def _links_within(known: DataFrame, facts: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between components in each bucket, as few as join them.
+    ``known``: band, key, node, root of the members of buckets; ``facts``: node, n_shingles, low, bands."""
+    cell = ["band", "key", "y", "x"]
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_cell(batches):
+            own = _Cell(table, percent)
+            has = np.zeros(len(table), bool)
+            for i in own.down.tolist():
+                j = own.partners(i)
+                has[j] = True
+                has[i] = len(j) > 0
+            yield from table.select([*cell, "node", "root", "outside", "row"]).filter(pa.array(has)).combine_chunks().to_batches()
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_cell(batches):
+            own, links = _Cell(table, percent), []
+            packed = table.column("shingles").combine_chunks()
+            for i in own.down.tolist():
+                mine = np.frombuffer(packed[i].as_buffer(), U)
+                for k in own.partners(i).tolist():
+                    if own.component[k] != own.component[i]:
+                        other = np.frombuffer(packed[k].as_buffer(), U)
+                        shared = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
+                        if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                            own.component[own.component == own.component[k]] = own.component[i]
+                            links.append((own.node[i], own.node[k]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
+
+    sized = known.join(facts.select("node", "n_shingles"), "node")
+    roots = sized.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    several = roots.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "root")).alias("great"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    cells = lambda n, size: F.ceil(F.greatest(n / CELL, size / CELL_SHINGLES))
+    wide, high = cells(F.col("n"), F.col("size")), cells(F.col("n") - F.col("great.n"), F.col("size") - F.col("great.size"))
+    several = several.select("band", "key", F.col("great.root").alias("great"), wide.alias("wide"), high.alias("high"))
+    rows = known.join(several, ["band", "key"]).withColumns({"outside": F.expr("root <> great"), "band": F.col("band").cast("long")})
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    names = ["band", "key", "y", "x", "node", "root", "n_shingles", "low", "outside"]
+    names = [*cell, "node", "root", "outside"]
     across = rows.withColumn("x", own("wide")).withColumn("y", F.explode(F.expr("sequence(0L, high - 1)"))).select(*names, F.lit(False).alias("row"))
     down = rows.where("outside").withColumn("y", own("high")).withColumn("x", F.explode(F.expr("sequence(0L, wide - 1)"))).select(*names, F.lit(True).alias("row"))
-    cells = across.unionByName(down).withColumn("band", F.col("band").cast("long"))
-    where = ["band", "key", "y", "x"]
-    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(work, "u bigint, v bigint, held_back boolean")
+    dealt = lambda df: df.repartition(*cell).sortWithinPartitions(*cell)
+    left = dealt(across.unionByName(down).join(facts, "node")).mapInArrow(survivors, "band bigint, key bigint, y bigint, x bigint, node bigint, root bigint, outside boolean, row boolean")
+    left = scratch.write(left, "survivors")
+    return dealt(left.join(facts.join(sets, "node"), "node")).mapInArrow(confirmed, "u bigint, v bigint")
 
 
 def _plausible(percent: int):
@@ -240,15 +257,9 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     links = scratch.write(_confirmed(stars, sets, percent), "links")
     roots = components(links, scratch, "first")
 
-    most = PASSED
-    for k in count(1):
-        known = shared.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = scratch.write(_candidates(known, firsts.select("node", "n_shingles", "low"), percent, most), f"pairs-{k}")
-        more = _confirmed(pairs.select("u", "v").distinct(), sets, percent)
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, f"round-{k}")
-        if pairs.where("held_back").isEmpty():
-            break
-        most *= PASSED_GROWTH
+    known = shared.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _links_within(scratch.write(known, "known"), firsts.select("node", "n_shingles", "low", "bands"), sets, scratch, percent)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, "last")
 
     owned = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     rows = held.select("_f", "_r", "doc_id", "n_shingles", "node").join(owned, "node", "left").withColumn("root", F.coalesce("root", "node"))

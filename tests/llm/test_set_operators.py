@@ -81,10 +81,10 @@ def near_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize("words, cell, passed", [(4, 1024, 32), (5, 3, 1)])
-def test_near(spark, words, cell, passed, monkeypatch):
+@pytest.mark.parametrize("words, cell, shingles", [(4, 1024, 1 << 21), (5, 3, 1000)])
+def test_near(spark, words, cell, shingles, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", cell)
-    monkeypatch.setattr(minhash, "PASSED", passed)
+    monkeypatch.setattr(minhash, "CELL_SHINGLES", shingles)
     texts = near_texts(random.Random(words))
     docs = frame(spark, texts)
     rows = minhash.near_groups(docs, scratch(spark), words=words).collect()
@@ -101,7 +101,7 @@ def test_long_words_that_sums_of_powers_confuse(spark):
     assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
 
 
-def test_bucket_of_several_components(spark):
+def test_bucket_of_several_components(spark, monkeypatch):
     """A passage puts many texts in the same buckets, larger than a cell, where they belong to several groups."""
     rng = random.Random(8)
     words = [f"w{k}" for k in range(400)]
@@ -114,11 +114,8 @@ def test_bucket_of_several_components(spark):
                 own[rng.randrange(150, len(own))] = rng.choice(words)
             texts.append((len(texts), " ".join(own)))
     rng.shuffle(texts)
-    before, minhash.CELL, minhash.PASSED = (minhash.CELL, minhash.PASSED), 16, 2
-    try:
-        rows = minhash.near_groups(frame(spark, texts), scratch(spark), words=4).collect()
-    finally:
-        minhash.CELL, minhash.PASSED = before
+    monkeypatch.setattr(minhash, "CELL", 16)
+    rows = minhash.near_groups(frame(spark, texts), scratch(spark), words=4).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == Counter(jaccard_components(texts, 4, 80))
 
 
