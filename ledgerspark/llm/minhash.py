@@ -216,7 +216,7 @@ def _links_within(known: DataFrame, facts: DataFrame, sets: DataFrame, scratch:
     names = [*cell, "node", "root", "outside"]
     across = rows.withColumn("x", own("wide")).withColumn("y", F.explode(F.expr("sequence(0L, high - 1)"))).select(*names, F.lit(False).alias("row"))
     down = rows.where("outside").withColumn("y", own("high")).withColumn("x", F.explode(F.expr("sequence(0L, wide - 1)"))).select(*names, F.lit(True).alias("row"))
-    dealt = lambda df: df.repartition(*cell).sortWithinPartitions(*cell)
+    dealt = lambda df: df.select(*cell, *(c for c in df.columns if c not in cell)).repartition(*cell).sortWithinPartitions(*cell)
     left = dealt(across.unionByName(down).join(facts, "node")).mapInArrow(survivors, "band bigint, key bigint, y bigint, x bigint, node bigint, root bigint, outside boolean, row boolean")
     left = scratch.write(left, "survivors")
     return dealt(left.join(facts.join(sets, "node"), "node")).mapInArrow(confirmed, "u bigint, v bigint")
