@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, keyed
+from .common import Scratch, keyed, tidy
 
 K = 10
 TREES = 16
@@ -136,6 +136,7 @@ def nearest(
         keys = np.stack([own.column(c).to_numpy() for c in ("_f", "_r")], 1)
         sent = spark.sparkContext.broadcast((flat, keys, own.column("vec_id").to_numpy()))
 
+        @tidy
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             flat, keys, _ = sent.value
             for part in _shards(batches):

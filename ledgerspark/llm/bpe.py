@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunks, small_batches, text_buffer
+from .common import byte_class, chunks, text_buffer, tidy
 
 #: Fixed value: the pre-tokeniser's public pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -256,10 +256,10 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple
     table gives an empty table; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer or default_tokenizer(), "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of_worker(held.value)
         for batch in batches:

@@ -2,15 +2,19 @@
 
 Scratch tables live in the folder that ``spark.checkpoint.dir`` names, which
 every executor can read; a folder of our own is made only where that setting
-is missing (tests). They replace lineage, so a lost executor costs a re-read.
+is missing and Spark runs in this process (tests). They replace lineage, so a
+lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="ledgerspark-"))
     return _own_folder[0]
@@ -40,6 +46,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """At its end, deletes the tables of every ``Scratch`` made inside; what is still wanted must be written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.close()
+
+
 class Scratch:
     """Tables of one operator run in the shared folder, deleted at exit or by ``drop``."""
 
@@ -48,6 +68,8 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.inputs: list[tuple[DataFrame, DataFrame]] = []
         atexit.register(self._clear)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def _clear(self) -> None:
         try:
@@ -55,6 +77,12 @@ class Scratch:
         except Exception:  # the session has ended
             pass
 
+    def close(self) -> None:
+        """Deletes all tables at once."""
+        self.inputs.clear()
+        delete_path(self.spark, self.base)
+        atexit.unregister(self._clear)
+
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
@@ -137,14 +165,32 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         at = to
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows and bounded bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, for work that makes Python objects of each."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
-#: Rows of the sieve; each holds 64 bits, so its size is bounded whatever the data hold.
-SIEVE_WORDS = 1 << 16
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives unused memory of its Python worker back at the end of a task; workers live on."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
+
+
+#: Rows of a sieve, at least and at most; each holds 64 bits. Its size follows its members' number
+#: up to that bound (a broadcast of some 32 MB); with more members than bits there is no sieve.
+SIEVE_WORDS = (1 << 16, 1 << 20)
 
 
 def with_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -152,18 +198,19 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return keyed(docs, scratch, {"row": F.struct(*[f"`{c}`" for c in docs.columns])})
 
 
-def _sieve_bit() -> tuple[Column, Column]:
-    hashed = F.xxhash64("_f", "_r")
-    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)), F.pmod(hashed, F.lit(64)).cast("int")
-
-
 def sieved(rows: DataFrame, members: DataFrame) -> DataFrame:
     """``rows`` with ``suspect``: false for most rows whose key is not among ``members``.
 
-    The members are hashed onto 4 million bits, a broadcast of 65,536 rows at
-    most. It spares rows with long texts a shuffle; a join on the key decides.
+    The members (a table that is cheap to count) are hashed onto 4 to 64 million
+    bits. It spares rows with long texts a shuffle; a join on the key decides.
     """
-    word, bit = _sieve_bit()
+    n, (words, most) = members.count(), SIEVE_WORDS
+    if n > 64 * most:
+        return rows.withColumn("suspect", F.lit(True))
+    while words < most and 4 * words < n:
+        words *= 2
+    hashed = F.xxhash64("_f", "_r")
+    word, bit = F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(words - 1)), F.pmod(hashed, F.lit(64)).cast("int")
     bits = members.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
     suspect = F.expr("coalesce(shiftright(_bits, _bit) & 1L, 0L)") == 1

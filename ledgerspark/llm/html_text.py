@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices, tidy
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -315,10 +315,10 @@ def extract_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), col
     table gives an empty one. Where nothing is on either side, a block that no
     capacity ties to the content terminal is boilerplate.
     """
-    small_batches(pages.sparkSession, 500)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [main_text(p) for p in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.int32()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, "text", "n_blocks", "n_boilerplate"])

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, chunks, small_batches, text_buffer
+from .common import LOWER, byte_class, chunks, text_buffer, tidy
 
 #: The phrases whose exact occurrences count, and their labels.
 PHRASES = {
@@ -177,10 +177,10 @@ def license_places(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     Null texts count as empty: no words, empty arrays. Rows are independent, so
     repeats and null ids change nothing; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
     exact_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("errors", pa.int64()), ("similarity", pa.float64())]))
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenseScanner(phrases, notices, firm)
         dicts = lambda rows, kind: [[dict(zip([f.name for f in kind.value_type], x)) for x in r] for r in rows]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, keyed, only, text_buffer, with_keys, without
+from .common import Scratch, chunks, keyed, only, text_buffer, tidy, with_keys, without
 from .components import components
 from .shingles import U, mixed, shingle_sets
 
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, scratch: Scratch, text: str, ident: str, words:
     """Per row: key, doc_id, n_shingles, a digest of the set, the low bits and bytes of its minima, its band keys."""
     functions = hash_functions(BANDS * ROWS)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(3))
@@ -104,6 +105,7 @@ def signatures(docs: DataFrame, scratch: Scratch, text: str, ident: str, words:
 def _full_sets(docs: DataFrame, scratch: Scratch, wanted: DataFrame, text: str, words: int) -> DataFrame:
     """``node`` and its shingle set (sorted hashes, packed) of the wanted rows."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
@@ -120,6 +122,7 @@ def _full_sets(docs: DataFrame, scratch: Scratch, wanted: DataFrame, text: str,
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -179,6 +182,7 @@ def _links_within(known: DataFrame, facts: DataFrame, sets: DataFrame, scratch:
     ``known``: band, key, node, root of the members of buckets; ``facts``: node, n_shingles, low, bands."""
     cell = ["band", "key", "y", "x"]
 
+    @tidy
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
             own = _Cell(table, percent)
@@ -189,6 +193,7 @@ def _links_within(known: DataFrame, facts: DataFrame, sets: DataFrame, scratch:
                 has[i] = len(j) > 0
             yield from table.select([*cell, "node", "root", "outside", "row"]).filter(pa.array(has)).combine_chunks().to_batches()
 
+    @tidy
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
             own, links = _Cell(table, percent), []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_class, chunks, keyed, small_batches, text_buffer, with_keys, without
+from .common import Scratch, byte_class, chunks, keyed, text_buffer, tidy, with_keys, without
 from .shingles import word_hashes
 
 #: Bounds of the samples that the classifiers are fitted on: labelled rows and unlabelled ones.
@@ -97,12 +97,12 @@ def features(docs: DataFrame, scratch: Scratch, text: str = "text", ident: str =
 
     Metadata columns that the table lacks, and nulls in them, have buckets of their own.
     """
-    small_batches(docs.sparkSession)
     have = {c.lower() for c in docs.columns}
     bucket = lambda c, n: F.when(F.col(c).isNull(), n).otherwise(F.pmod(F.xxhash64(c), F.lit(n))).cast("int") if c in have else F.lit(n)
     content = F.col(f"`{text}`").cast("string")
     rows = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "text": content, "lang": bucket("lang", LANGS), "source": bucket("source", SOURCES), "size": F.coalesce(F.char_length(content), F.lit(0))})
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(3))
@@ -240,6 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
     model = co_train((sample[0], sample[1], (sample[2] > 0).astype(float)), (rest[0], rest[1]))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             views = [batch.column(k).flatten().to_numpy().astype(np.float64).reshape(len(batch), -1) for k in (3, 4)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import window_anchors
-from .common import Scratch, chunks, keyed, only, sieved, small_batches, text_buffer, with_keys
+from .common import Scratch, chunks, keyed, only, sieved, text_buffer, tidy, with_keys
 from .suffix_sort import repeated_windows
 
 WIDTH = 400
@@ -46,6 +46,7 @@ BUFFER = 32 << 20
 def stretches(rows: DataFrame, width: int, gram: int) -> DataFrame:
     """``_f``, ``_r``, the anchor's hash, a hash of the stretch, and its first and last window."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(2))
@@ -62,6 +63,7 @@ def stretches(rows: DataFrame, width: int, gram: int) -> DataFrame:
 def _contents(texts: DataFrame, width: int) -> DataFrame:
     """The bytes of wanted stretches. ``texts``: text and ``wanted`` (array of anchor, cover, n, first, last)."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(0))
@@ -101,6 +103,7 @@ def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "cover", "low", "high"])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int]] = []
         parts: list[bytes] = []
@@ -122,6 +125,7 @@ def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
 def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """For each stretch the windows (runs from its first, ends included) that occur elsewhere, by their digests."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column(2).to_pylist()
@@ -142,7 +146,6 @@ def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``_f``, ``_r`` and ``windows``: the runs (low, high) of windows of each row that start elsewhere too."""
-    small_batches(docs.sparkSession)
     rows = keyed(docs, scratch, {"text": F.col(f"`{text}`").cast("string")}).where(F.octet_length("text") >= width)
     found = stretches(rows, width, gram)
     one = {c: F.first(c).alias(c) for c in ("_f", "_r", "first", "last")}
@@ -201,6 +204,7 @@ def _cut(rest: DataFrame, width: int) -> DataFrame:
     row_type = schema["row"].dataType.simpleString()
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
