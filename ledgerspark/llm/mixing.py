@@ -6,7 +6,9 @@ and per source, whatever the number of documents. Token capacity flows from
 patterns to source quotas; each further pass over a pattern's documents costs
 more (convex repetition costs). The flow of a pattern fixes how many whole
 passes all its documents get and how many tokens more; the documents for those
-are taken in the order of a seeded hash.
+are taken in the order of a seeded hash. Documents that don't fit are passed
+over: ``FILLS`` times those that still fit are taken in that order as far as
+they go, and then the one that leaves the least gap.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
+FILLS = 5
+#: Patterns (sets of sources that occur) at most, for their sums and the flow are the driver's; more is an error.
+MOST_PATTERNS = 1_000_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -109,10 +114,6 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], most: int
         problems[root(p[0])].append(p)
     out: dict[tuple, dict[str | None, int]] = {}
     for own in problems.values():
-        if len(own) == 1 and len(own[0]) == 1:
-            p = own[0]
-            out[p] = {p[0]: min(round(quotas[p[0]]), most * patterns[p])}
-            continue
         flow, sources = _Flow(), sorted({s for p in own for s in p}, key=lambda s: (s is None, s or ""))
         node = {s: 2 + k for k, s in enumerate(sources)}
         for s in sources:
@@ -140,20 +141,39 @@ def _place(ident: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
 
 
-#: A row's place in its pattern's order.
+#: A row's place in its pattern's order, and whether a fill has taken it.
 ORDER = "struct(place, doc_id, _f, _r)"
+FILLED = f"size > 0 and exists(cuts, c -> size <= c.gap and {ORDER} <= c.bound)"
+
+
+def _fill(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """Takes rows that fit in their pattern's gap, in order, as far as they go.
+
+    ``state``: pattern, gap and cuts (gap and bound of the fills before). Sums over hash ranges find the
+    range where a gap runs out; only that range is sorted. Returns pattern, ``used`` and ``bound``."""
+    fitting = sized.join(state, "pattern").where(f"size > 0 and size <= gap and not ({FILLED})")
+    ranges = fitting.groupBy("pattern", "range").agg(F.sum("size").alias("range_size"), F.max(F.expr(ORDER)).alias("top"), F.first("gap").alias("gap"))
+    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("before", before)
+    whole = ranges.where("before + range_size <= gap").select("pattern", F.col("range_size").alias("used"), F.col("top").alias("bound"))
+    edge = fitting.drop("gap").join(ranges.where("before <= gap and before + range_size > gap").select("pattern", "range", "before", "gap"), ["pattern", "range"])
+    up_to = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("place", "doc_id", "_f", "_r").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("up_to", up_to).where("up_to <= gap").select("pattern", F.col("size").alias("used"), F.expr(ORDER).alias("bound"))
+    return whole.unionByName(edge).groupBy("pattern").agg(F.sum("used").alias("used"), F.max("bound").alias("bound"))
 
 
 def plan_mix(
     docs: DataFrame, scratch: Scratch, membership: Column, text: str, ident: str, weights: Sequence[int], share: float, most: int, seed: str
 ) -> tuple[DataFrame, DataFrame]:
     """The sized rows, and a row per pattern that fixes what is taken: ``passes`` over all its
-    documents, once more for those up to ``bound`` in the seeded order and for ``extra``."""
+    documents, once more for those that a fill took (``cuts``) and for ``extra``."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     sized = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "sources": F.array_sort(F.array_distinct(membership)), "size": words})
     sized = scratch.write(sized.withColumns({"pattern": _pattern(F.col("sources")), "place": _place(F.col("doc_id"), seed)}), "sized")
-    rows = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
     patterns = {tuple(r.sources): r["size"] for r in rows}
     names = {tuple(r.sources): r.pattern for r in rows}
     sizes: dict[str | None, int] = defaultdict(int)
@@ -167,38 +187,30 @@ def plan_mix(
     for p, n in patterns.items():
         flow = sum(routed[p].values())
         passes = flow // n if n else 0
-        plan.append((names[p], passes, flow - passes * n, n, float(sum(quotas[s] for s in p)), sum(sizes[s] for s in p)))
-    plan = spark.createDataFrame(plan, "pattern string, passes bigint, rest bigint, pattern_size bigint, target double, source_size bigint")
+        plan.append((names[p], passes, flow - passes * n, float(sum(quotas[s] for s in p)), sum(sizes[s] for s in p)))
+    plan = spark.createDataFrame(plan, "pattern string, passes bigint, gap bigint, target double, source_size bigint")
 
-    # The rest of a pattern: documents in hash order while they fit. Sums over hash
-    # ranges find the range where it runs out; only that range is sorted.
     digits = 3 + max(0, math.ceil(math.log(max(1, sum(r.n for r in rows)) / 4e8, 16)))
     few = len(rows) <= 10_000  # rows of that many patterns at most are broadcast
-    ranged = sized.join(F.broadcast(plan) if few else plan, "pattern").withColumn("range", F.substring("place", 1, digits))
-    by_range = ranged.groupBy("pattern", "range").agg(F.sum("size").alias("range_size"))
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = by_range.select("pattern", "range", before.alias("before"), "range_size")
-    placed = ranged.join(ranges, ["pattern", "range"])
-    whole = placed.where("before + range_size <= rest").withColumn("first", F.lit(True))
-    none = placed.where("before > rest").withColumn("first", F.lit(False))
-    edge = placed.where("before <= rest and before + range_size > rest")
-    up_to = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "range").orderBy("place", "doc_id", "_f", "_r").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("up_to", up_to).withColumn("first", F.col("up_to") <= F.col("rest")).drop("up_to")
-    chosen = scratch.write(whole.unionByName(none).unionByName(edge).select("_f", "_r", "doc_id", "pattern", "size", "place", "rest", "first"), "chosen")
+    sent = lambda df: F.broadcast(df) if few else df
+    ranged = sized.withColumn("range", F.substring("place", 1, digits))
+    none = F.expr("cast(array() as array<struct<gap: bigint, bound: struct<place: string, doc_id: bigint, _f: bigint, _r: bigint>>>)")
+    state = scratch.write(plan.withColumn("cuts", none), "cuts-0")
+    for k in range(FILLS):
+        found = _fill(ranged, sent(state.select("pattern", "gap", "cuts")))
+        cuts = F.when(F.col("bound").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(F.struct("gap", "bound"))))
+        state = state.join(sent(found), "pattern", "left").withColumn("cuts", cuts).withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0)))
+        state = scratch.write(state.drop("used", "bound"), f"cuts-{k + 1}")
 
     # Of the others, the document that best fills what is then left is taken too.
-    filled = chosen.groupBy("pattern").agg(F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("filled"), F.max("rest").alias("all_rest")).withColumn("gap", F.col("all_rest") - F.col("filled"))
-    small = F.broadcast(filled) if few else filled
-    others = chosen.where(~F.col("first")).join(small, "pattern").where("abs(size - gap) < gap")
+    others = sized.join(sent(state.select("pattern", "gap", "cuts")), "pattern").where(f"size > 0 and abs(size - gap) < gap and not ({FILLED})")
     best = others.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.expr(ORDER).alias("at"))).alias("best")).select("pattern", F.col("best.at").alias("extra"))
-    bounds = chosen.where("first").groupBy("pattern").agg(F.max(F.expr(ORDER)).alias("bound"))
-    cutoffs = plan.join(bounds, "pattern", "left").join(best, "pattern", "left").select("pattern", "passes", "bound", "extra", "target", "source_size")
-    cutoffs = scratch.write(cutoffs, "cutoffs")
-    return sized, F.broadcast(cutoffs) if few else cutoffs
+    cutoffs = scratch.write(state.join(best, "pattern", "left").select("pattern", "passes", "cuts", "extra", "target", "source_size"), "cutoffs")
+    return sized, sent(cutoffs)
 
 
 #: How often a row is taken, where its pattern's cutoffs are joined to it.
-TIMES = f"passes + cast(coalesce({ORDER} <= bound, false) or coalesce({ORDER} = extra, false) as bigint)"
+TIMES = f"if(size = 0, 0L, passes + cast(coalesce({FILLED}, false) or coalesce({ORDER} = extra, false) as bigint))"
 
 
 def mix(
@@ -217,12 +229,12 @@ def mix(
     ``membership`` is the array of sources of a row (null is a source of its
     own). Sizes are words between white space; a null text has none. Whole
     documents are taken, 0 to ``most`` times each; a pattern's total is off its
-    flow by no more than the best single document leaves. Only sums by pattern
-    (the sets of sources that occur) come to the driver. Rows of the same id
-    count apart. An empty table gives an empty result.
+    flow by what the fills and the best single document leave. Only sums by pattern
+    (the sets of sources that occur, ``MOST_PATTERNS`` at most) come to the driver.
+    Rows of the same id count apart. An empty table gives an empty result.
     """
     sized, cutoffs = plan_mix(docs, scratch, membership, text, ident, weights, share, most, seed)
-    rows = sized.join(cutoffs, "pattern").withColumn("times", F.when(F.col("size") > 0, F.expr(TIMES)).otherwise(0))
+    rows = sized.join(cutoffs, "pattern").withColumn("times", F.expr(TIMES))
     return rows.select("_f", "_r", "doc_id", "sources", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
@@ -231,7 +243,8 @@ def repeat_documents(docs: DataFrame, scratch: Scratch, text: str = "text", iden
     member = lambda c: F.array(c.cast("string"))
     _, cutoffs = plan_mix(docs, scratch, member(F.col(f"`{source}`")), text, ident, WEIGHTS, SHARE, MOST, SEED)
     own = {"pattern": _pattern(member(F.col(f"row.`{source}`"))), "doc_id": F.col(f"row.`{ident}`").cast("long")}
-    rows = with_keys(docs, scratch).where(F.rlike(F.col(f"row.`{text}`").cast("string"), F.lit(SPACE_WORD))).withColumns(own)
+    own["size"] = F.coalesce(F.regexp_count(F.col(f"row.`{text}`").cast("string"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    rows = with_keys(docs, scratch).withColumns(own)
     rows = rows.withColumn("place", _place(F.col("doc_id"), SEED)).join(cutoffs, "pattern").withColumn("times", F.expr(TIMES)).where("times > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
@@ -242,6 +255,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, Scratch(spark, "mix"), F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: One fill: what fits in the gap of its source is taken in order as far as it goes.
+_FILL_SQL = """, e{k} AS (
+  SELECT *, NOT taken AND size > 0 AND size <= gap AS fits FROM f{j}
+), n{k} AS (
+  SELECT * EXCLUDE (fits), fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= gap AS hit FROM e{k}
+), f{k} AS (
+  SELECT * EXCLUDE (gap, taken, hit), gap - sum(CASE WHEN hit THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap, taken OR hit AS taken FROM n{k}
+)"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -262,15 +284,13 @@ WITH d AS (
 ), p AS (
   SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE least(CAST(round_even(target, 0) AS BIGINT), 2 * source_size) // source_size END AS BIGINT) AS passes,
     CAST(CASE WHEN source_size = 0 THEN 0 ELSE least(CAST(round_even(target, 0) AS BIGINT), 2 * source_size) % source_size END AS BIGINT) AS rest FROM t
-), o AS (
-  SELECT d.*, p.source_size, p.target, p.passes, p.rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= p.rest AS first
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-), g AS (
-  SELECT *, rest - sum(CASE WHEN first THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM o
-), b AS (
-  SELECT *, row_number() OVER (PARTITION BY source, first OR abs(size - gap) >= gap ORDER BY abs(size - gap), place, doc_id) = 1
-    AND NOT first AND abs(size - gap) < gap AS extra FROM g
+), f0 AS (
+  SELECT d.*, p.source_size, p.target, p.passes, p.rest AS gap, false AS taken FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)"""
+OP7_SQL += "".join(_FILL_SQL.format(j=k, k=k + 1) for k in range(FILLS))
+OP7_SQL += f""", b AS (
+  SELECT *, row_number() OVER (PARTITION BY source, taken OR size = 0 OR abs(size - gap) >= gap ORDER BY abs(size - gap), place, doc_id) = 1
+    AND NOT taken AND size > 0 AND abs(size - gap) < gap AS extra FROM f{FILLS}
 )
-SELECT doc_id, size, source_size, target, size * (passes + CASE WHEN first OR extra THEN 1 ELSE 0 END) AS taken FROM b
+SELECT doc_id, size, source_size, target, size * (passes + CASE WHEN taken OR extra THEN 1 ELSE 0 END) AS taken FROM b
 """

@@ -333,3 +333,31 @@ def test_mix_overlapping_sources(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, member array<string>")
     out = mixing.mix(docs, scratch(spark), F.col("member")).collect()
     assert len(out) == 100 and abs(sum(r.taken for r in out) - 1500) <= 10
+
+
+def test_every_pattern_goes_through_the_flow(spark, monkeypatch):
+    runs = []
+    run = mixing._Flow.run
+    monkeypatch.setattr(mixing._Flow, "run", lambda self, a, b: (runs.append(len(self.to)), run(self, a, b))[1])
+    mixing.op7_mixing(spark, "/root/testdata/sf0.001")
+    sources = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source").distinct().count()
+    assert len(runs) == sources  # no two of them overlap there
+
+
+def test_mix_goes_on_past_long_documents(spark):
+    """Documents of 3,000 words at any place of the order don't keep the others from filling the gap."""
+    sizes = [3000 if k % 10 == 3 else 40 + k for k in range(60)]
+    docs = spark.createDataFrame([(k, "w " * n, "a" if k % 2 else "b") for k, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    rows = mixing.mix(docs, scratch(spark), F.array("source")).collect()
+    for source in ("a", "b"):
+        own = [r for r in rows if r.sources == [source]]
+        gap = own[0].target - sum(r.taken for r in own)
+        least = min(r.times for r in own)
+        assert abs(gap) <= 0.05 * own[0].target
+        assert all(abs(gap - r.size) >= abs(gap) - 1 for r in own if r.times == least)  # no document lowers it
+
+
+def test_too_many_patterns_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(frame(spark, [(k, "a b") for k in range(9)]), scratch(spark), F.array("source"))
