@@ -169,6 +169,14 @@ CASES["commits"] = (
         ("order", {"index_locked": True, "now_head": B}),
     ]),
 )
+CASES["remote_answers"] = (
+    "id int, answer string, ref string",
+    [(1, f"{A}\trefs/heads/w\n", "refs/heads/w"), (2, f"{A} refs/heads/w", "refs/heads/w"), (3, "", "refs/heads/w"), (4, f"{A}\trefs/heads/w\n{B}\trefs/heads/v\n", "refs/heads/w"),
+     (5, f"{A}\trefs/heads/v\n", "refs/heads/w"), (6, f"{A[1:]}\trefs/heads/w\n", "refs/heads/w"), (7, f"{A.upper()}\trefs/heads/w\r\n", "refs/heads/w"), (8, f"{A}\trefs/heads/w\r\n", "refs/heads/w"),
+     (9, "\n", "refs/heads/w"), (10, f"{A}\n\n", "refs/heads/w"), (11, f"{A} refs/heads/w more", "refs/heads/w")],
+)
+CASES["messages"] = ("app string, id string", [("manual", "t1"), ("agent", "x" * 60), ("manual", "é" * 50), ("agent", "")])
+CASES["push_policies"] = ("enabled boolean, url string, branch string", [(True, "u", "w")])
 CASES["report_tasks"] = (
     "seq bigint, id string, app string, started string, status string, result string, verification string, changed array<string>, claimed array<string>, push_error string, "
     "notes struct<summary: string, evidence: string, remaining: string, next_step: string>",
@@ -185,22 +193,6 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, int):
-        return str(value)
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, dict):
-        return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, tuple):
-        return "{'summary': %s, 'evidence': %s, 'remaining': %s, 'next_step': %s}" % tuple(map(_literal, value))
-    return "[" + ", ".join(map(_literal, value)) + "]"
-
-
 def _duck(kind: str) -> str:
     kind = kind.strip()
     if kind.startswith("array<"):
@@ -213,10 +205,16 @@ def _duck(kind: str) -> str:
 
 
 def values(name: str) -> str:
-    """The same rows as a subquery of SQL."""
+    """The same rows as a subquery of SQL, from one JSON literal."""
+    import json
     import re
 
     schema, rows = CASES[name]
     fields = re.findall(r"(\w+) (struct<[^>]*>|array<map<[^>]*>>|array<\w+>|map<[^>]*>|\w+)", schema)
-    lines = [f"SELECT {', '.join(f'CAST({_literal(v)} AS {_duck(t)}) AS {n}' for v, (n, t) in zip(row, fields))}" for row in rows]
-    return "(" + " UNION ALL ".join(lines) + ")"
+    held = dict(re.findall(r"(\w+) struct<([^>]*)>", schema))
+    inner = {n: [f.split(":")[0].strip() for f in parts.split(",")] for n, parts in held.items()}
+    named = lambda n, v: dict(zip(inner[n], v)) if isinstance(v, tuple) else v
+    body = json.dumps([{n: named(n, v) for v, (n, _) in zip(row, fields)} for row in rows], ensure_ascii=False, separators=(",", ":"))
+    types = json.dumps([{n: {f: "VARCHAR" for f in inner[n]} if n in inner else _duck(t) for n, t in fields}])
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"(SELECT unnest(r) FROM (SELECT unnest(from_json({quoted(body)}, {quoted(types)})) AS r))"

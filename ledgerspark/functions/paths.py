@@ -53,5 +53,14 @@ def remote_head(line: Column, ref: Column) -> Column:
     return F.when(right, F.get(parts, F.lit(0)))
 
 
+def remote_answer(answer: Column, ref: Column) -> Column:
+    """A remote's whole answer as a struct: ``head``, or in ``error`` why it is refused."""
+    lines = F.split(answer, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    head = remote_head(F.get(lines, F.lit(0)), ref)
+    error = F.when(F.size(lines) != 1, F.lit("remote_branch_missing_or_ambiguous")).when(head.isNull(), F.lit("remote_branch_response_invalid"))
+    return F.struct(F.when(error.isNull(), head).alias("head"), error.alias("error"))
+
+
 def commit_message(app: Column, task: Column) -> Column:
     return F.concat(F.lit("research: "), app, F.lit(" task "), F.substring(task, 1, 48), F.lit("\n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +24,23 @@ MAX_NOTE = 600
 REGION_START, REGION_END = "<!-- managed:begin -->", "<!-- managed:end -->"
 
 
+#: Parts of which every secret holds one, in lower case; the second ones stand beside a quote.
+#: None holds an i, which any case of letters takes for four characters.
+SECRET_PARTS = ("-----beg", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "thub_pat_", "sk-")
+QUOTED_PARTS = ("key", "password", "secret", "token")
+
+
 def has_secret(text: Column) -> Column:
-    return F.rlike(text, F.lit(f"(?iuU){SECRET}"))
+    """Few texts hold a part of a secret; only those are matched as a whole."""
+    low = F.translate(F.lower(text), "\u017f", "s")  # the long s, which any case of letters takes for one
+    some = lambda parts: reduce(or_, [F.contains(low, F.lit(p)) for p in parts])
+    quoted = (F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))) & some(QUOTED_PARTS)
+    return (some(SECRET_PARTS) | quoted) & F.rlike(text, F.lit(f"(?iuU){SECRET}"))
 
 
 def has_contact(text: Column) -> Column:
-    return F.rlike(text, F.lit(f"(?U){CONTACT}"))
+    """Every contact holds one of two literals; only texts with one are matched as a whole."""
+    return (F.contains(text, F.lit("@")) | F.contains(text, F.lit("01"))) & F.rlike(text, F.lit(f"(?U){CONTACT}"))
 
 
 def unix_lines(text: Column) -> Column:

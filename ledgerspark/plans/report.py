@@ -41,3 +41,18 @@ def status(tasks: DataFrame) -> DataFrame:
     """The 12 tasks saved last, eleven fields each, as JSON with nulls kept."""
     top = most_recent(tasks, F.desc("seq"))
     return top.select("seq", *STATUS_FIELDS, F.to_json(F.struct(*STATUS_FIELDS), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def status_document(tasks: DataFrame, meta: DataFrame, policy: DataFrame, root: str) -> DataFrame:
+    """The whole status, one row: ``enabled`` (false unless set), ``expected_root``, ``push_policy``,
+    ``tasks`` (the 12 saved last, eleven fields each, latest first) and ``commit_journal``.
+
+    ``meta``: key and value (JSON), a row per key; ``policy``: one row with a struct ``push``, null if off.
+    """
+    own = meta.groupBy().agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("enabled", "commit_journal")])
+    top = status(tasks).select(F.struct("seq", F.struct(*STATUS_FIELDS).alias("task")).alias("t"))
+    last = top.groupBy().agg(F.transform(F.sort_array(F.collect_list("t"), asc=False), lambda t: t["task"]).alias("tasks"))  # 12 at most
+    push = policy.select(F.coalesce("push", F.struct(F.lit(False).alias("enabled"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("branch"))).alias("push_policy"))
+    journal = F.when(F.col("commit_journal") != "null", F.col("commit_journal"))
+    row = own.join(push, F.lit(True)).join(last, F.lit(True))  # a row each
+    return row.select(F.coalesce(F.col("enabled") == "true", F.lit(False)).alias("enabled"), F.lit(root).alias("expected_root"), "push_policy", "tasks", journal.alias("commit_journal"))

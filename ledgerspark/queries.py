@@ -14,13 +14,14 @@ from .operators import ledger as L
 from .operators import path_sets as S
 from .plans import decide, publish, report
 from .sources.files import TASK, policy_fields
+from .sources.log import append_log, read_log, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Size limit of the document queries, so that it applies to some.
 LIMIT = 16_384
 
-_SECRET = r"""(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{24,})|(api[_-]?key|password|secret|token)\s*[:=]\s*["''][A-Za-z0-9_+/=-]{16,}["'']"""
+_SECRET = r"""(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{24,})|(?:api[_-]?key|password|secret|token)\s*[:=]\s*["''][A-Za-z0-9_+/=-]{16,}["'']"""
 _CONTACT = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|\b01[016789][- ]?\d{3,4}[- ]?\d{4}\b"
 
 
@@ -250,8 +251,8 @@ def changed_after_verify(spark, d):
 
 
 @query(f"""SELECT a.id, EXISTS (SELECT 1 FROM {values('task_spans')} b WHERE a.id <> b.id AND a.begin_seq < coalesce(b.finish_seq, 4611686018427387904) AND b.begin_seq < coalesce(a.finish_seq, 4611686018427387904)) AS overlap FROM {values('task_spans')} a
-UNION ALL SELECT 'u' || a.user_id, bool_or(b.user_id IS NOT NULL) FROM (SELECT user_id, min(event_id) AS s, max(event_id) AS e FROM events WHERE user_id <= 40 GROUP BY user_id) a
-LEFT JOIN (SELECT user_id, min(event_id) AS s, max(event_id) AS e FROM events WHERE user_id <= 40 GROUP BY user_id) b ON a.user_id <> b.user_id AND a.s < b.e AND b.s < a.e GROUP BY ALL""".replace(" WHERE user_id <= 40", ""))
+UNION ALL SELECT 'u' || a.user_id, bool_or(b.user_id IS NOT NULL) FROM (SELECT user_id, min(event_id) AS s, max(event_id) AS e FROM events GROUP BY user_id) a
+LEFT JOIN (SELECT user_id, min(event_id) AS s, max(event_id) AS e FROM events GROUP BY user_id) b ON a.user_id <> b.user_id AND a.s < b.e AND b.s < a.e GROUP BY ALL""")
 def overlap_tasks(spark, d):
     spans = _log(spark, d).groupBy("user_id").agg(F.min("seq").alias("begin_seq"), F.max("seq").alias("finish_seq"))
     own = decide.overlaps(spans.select(F.concat(F.lit("u"), "user_id").alias("id"), "begin_seq", "finish_seq"))
@@ -281,10 +282,10 @@ def verify_record(spark, d):
 
 
 @query(f"""
-WITH t AS (SELECT *, list_filter(claimed, lambda p: current[p] IS DISTINCT FROM baseline[p]) AS ch FROM {values('eligibility')}),
+WITH t AS MATERIALIZED (SELECT *, list_filter(claimed, lambda p: current[p] IS DISTINCT FROM baseline[p]) AS ch FROM {values('eligibility')}),
 q AS (SELECT id, unnest(ch) AS p, unnest(range(0, len(ch))) AS pos, current, contents FROM t),
 w AS (SELECT id, arg_min(CASE WHEN current[p] IS NULL THEN 'deletion_requires_manual_commit' ELSE 'possible_secret' END, pos) AS why FROM q WHERE current[p] IS NULL OR regexp_matches(contents[p], '{_SECRET}') GROUP BY id),
-e AS (SELECT t.*, w.why, CASE WHEN outcome <> 'completed' OR coalesce(enabled, false) = false THEN NULL WHEN NOT starts_with(now_branch, 'codex/') THEN 'codex_branch_required'
+e AS MATERIALIZED (SELECT t.*, w.why, CASE WHEN outcome <> 'completed' OR coalesce(enabled, false) = false THEN NULL WHEN NOT starts_with(now_branch, 'codex/') THEN 'codex_branch_required'
   WHEN now_branch = branch AND now_head = head AND len(baseline_dirty) = 0 AND NOT overlap AND has_notes AND verification IN ('passed', 'not_required') THEN unreadable END AS error FROM t LEFT JOIN w USING (id)),
 r AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN outcome <> 'completed' THEN 'interrupted_or_unknown' WHEN coalesce(enabled, false) = false THEN 'paused'
   WHEN now_branch <> branch OR now_head <> head THEN 'head_or_branch_changed' WHEN len(baseline_dirty) > 0 THEN 'baseline_dirty' WHEN overlap THEN 'overlapping_tasks' WHEN NOT has_notes THEN 'handoff_notes_missing'
@@ -425,3 +426,40 @@ def task_bodies(spark, d):
   THEN string_split(text, '<!-- managed:begin -->')[1] || '<!-- managed:begin -->' || chr(10) || chr(10) || 'lines' || chr(10) || chr(10) || '<!-- managed:end -->' || string_split(text, '<!-- managed:end -->')[2] END AS text FROM {values('regions')}""")
 def report_in_place(spark, d):
     return table(spark, "regions").select("id", X.filled_region(F.col("text"), F.lit("lines")).alias("text"))
+
+
+@query(f"""WITH a AS (SELECT id, ref, answer, len(answer) - len(replace(answer, chr(10), '')) + CASE WHEN answer <> '' AND NOT ends_with(answer, chr(10)) THEN 1 ELSE 0 END AS n,
+  regexp_extract(answer, '^([0-9a-f]{{40,64}})\\s+' || ref || '\\s*$', 1) AS head FROM {values('remote_answers')})
+SELECT id, CASE WHEN n = 1 AND head <> '' THEN head END AS head, CASE WHEN n <> 1 THEN 'remote_branch_missing_or_ambiguous' WHEN head = '' THEN 'remote_branch_response_invalid' END AS error FROM a""")
+def remote_answer(spark, d):
+    return table(spark, "remote_answers").select("id", P.remote_answer(F.col("answer"), F.col("ref")).alias("a")).select("id", "a.head", "a.error")
+
+
+@query(f"SELECT id, 'research: ' || app || ' task ' || left(id, 48) || chr(10) AS message FROM {values('messages')}")
+def commit_message(spark, d):
+    return table(spark, "messages").select("id", P.commit_message(F.col("app"), F.col("id")).alias("message"))
+
+
+@query(f"""WITH t AS (SELECT * FROM {values('report_tasks')} ORDER BY seq DESC LIMIT 12)
+SELECT (SELECT any_value(value) = 'true' FROM {values('meta')} WHERE key = 'enabled') AS enabled, '/work/here' AS expected_root, p.enabled AS push_enabled, p.url AS push_url, p.branch AS push_branch,
+  (SELECT nullif(any_value(value), 'null') FROM {values('meta')} WHERE key = 'commit_journal') AS commit_journal,
+  (SELECT string_agg(id || ' ' || status || ' ' || result || ' ' || coalesce(push_error, '-'), ',' ORDER BY seq DESC) FROM t) AS tasks FROM {values('push_policies')} p""")
+def status_document(spark, d):
+    empty = [F.lit(None).cast("string").alias(c) for c in ("commit", "push_status", "remote_commit", "push_verified_at")]
+    policy = table(spark, "push_policies").select(F.struct("*").alias("push"))
+    out = report.status_document(table(spark, "report_tasks").select("*", *empty), table(spark, "meta"), policy, "/work/here")
+    shown = F.transform("tasks", lambda t: F.concat_ws(" ", t["id"], t["status"], t["result"], F.coalesce(t["push_error"], F.lit("-"))))
+    push = [F.col(f"push_policy.{c}").alias(f"push_{c}") for c in ("enabled", "url", "branch")]
+    return out.select("enabled", "expected_root", *push, "commit_journal", F.array_join(shown, ",").alias("tasks"))
+
+
+@query("SELECT user_id, count(*) AS saves, bool_or(dayofyear(ts) % 2 = 0) AS last_even FROM events GROUP BY user_id")
+def log_appended(spark, d):
+    """The events of even days saved after those of odd ones, and read back from the log: the last save of each user."""
+    columns, folder = "event_id bigint, user_id bigint, even boolean", work_folder(spark, "log")
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("even", F.dayofyear("ts") % 2 == 0)
+    for even in (False, True):
+        append_log(events.where(F.col("even") == even), folder, columns)
+    log = read_log(spark, folder, columns)
+    saves = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("saves"))
+    return L.latest(log, "user_id").select("user_id", F.col("even").alias("last_even")).join(saves, "user_id").select("user_id", "saves", "last_even")

@@ -19,8 +19,6 @@ TASK = (
     "verified_snapshot map<string,string>, changed array<string>, commit string, remote_commit string, push_error string, "
     "push_status string, push_attempts int, push_verified_at string"
 )
-META = "key string, value string"
-EVENT = "seq bigint, id string, at timestamp, task string, event string, result string"
 
 
 def policy_fields(policy: DataFrame, root: str) -> DataFrame:

@@ -105,3 +105,31 @@ def test_now(spark):
 def test_filled_region_changes_nothing_else(spark):
     s, e = X.REGION_START, X.REGION_END
     assert column(spark, [f"a{s}old{e}b", "none"], lambda v: X.filled_region(v, F.lit("new"))) == [f"a{s}\n\nnew\n\n{e}b", None]
+
+
+def test_gates_let_every_match_through(spark):
+    """Secrets and contacts in any case of letters, with the signs that count as k and s there."""
+    import re
+
+    texts = ["-----BEGIN PRIVATE KEY-----", "-----begIn rsa prıvate Key-----", "GHP_" + "a" * 20, "ghſ_" + "a" * 20, "gİthub_pat_" + "a" * 20, "GITHUB_PAT_" + "a" * 20, "ſK-" + "a" * 24,
+             "API-KEY: '" + "a" * 16 + "'", 'paſſword="' + "a" * 16 + '"', "Secret = '" + "B" * 16 + "'", "tOken:'" + "c" * 16 + "'", "key", "a@b.cd", "010-1234-5678", "01 0", "@", "", "plain"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    from pyspark.sql import functions as F
+
+    from ledgerspark.functions import text as X
+
+    plain = rows.select("k", F.rlike("t", F.lit(f"(?iuU){X.SECRET}")).alias("s"), F.rlike("t", F.lit(f"(?U){X.CONTACT}")).alias("c")).collect()
+    gated = rows.select("k", X.has_secret(F.col("t")).alias("s"), X.has_contact(F.col("t")).alias("c")).collect()
+    assert sorted(plain) == sorted(gated) and sum(r.s for r in plain) >= 9
+    assert all(r.s for r in plain if re.search(X.SECRET, texts[r.k], re.I))
+
+
+def test_log(spark, tmp_path):
+    from ledgerspark.sources.log import LOGS, append_log, read_log
+
+    path = str(tmp_path / "meta")
+    assert read_log(spark, path, LOGS["meta"]).count() == 0
+    for value in ("true", "false", "null"):
+        append_log(spark.createDataFrame([("enabled", value), ("x", value)], LOGS["meta"]), path, LOGS["meta"])
+    rows = sorted(read_log(spark, path, LOGS["meta"]).collect())
+    assert len({r.seq for r in rows}) == 6 and [r.value for r in rows if r.key == "enabled"] == ["true", "false", "null"]
