@@ -8,7 +8,7 @@ from .shingles import U, mixed
 
 #: Bytes of an anchor's own string.
 GRAM = 64
-_RANDOM = np.random.Generator(np.random.PCG64(99)).integers(0, np.iinfo(U).max, (2, 256), dtype=U)
+_RANDOM = np.random.Generator(np.random.PCG64(99)).integers(0, np.iinfo(U).max, 256, dtype=U)
 _HASH_BITS = 36
 #: An odd number and its inverse, for sums of powers over grams.
 _BASE = 0x9E3779B97F4A7C15
@@ -29,22 +29,22 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int =
 
     Equal windows have equal anchors, and windows of one anchor are consecutive.
     Returned per anchor: text, the first and last window it owns (from the
-    text's start), the anchor's hash, and two hashes of all that its windows
-    cover and where in it the anchor lies.
+    text's start), where in that stretch the anchor lies, the anchor's hash,
+    and a hash of the anchor with the ``side`` bytes before and after it, 0
+    where its windows don't reach that far. Every window reaches that far on one
+    side at least, so equal windows have one of these hashes in common.
     """
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none, none.view(U), none.view(U), none.view(U)
     n = len(raw)
     if n < width:
-        return none, none, none, none.view(U), none.view(U), none.view(U)
+        return nothing
     if n >= 1 << (64 - _HASH_BITS):
         raise ValueError("a block of texts is too long for anchors")
     up, down = _powers(n + 1)
-    totals = []
-    for table in _RANDOM:
-        total = np.zeros(n + 1, U)
-        np.cumsum(table[raw] * up[:n], out=total[1:])
-        totals.append(total)
-    grams = mixed((totals[0][gram:] - totals[0][:-gram]) * down[: n - gram + 1])
+    total = np.zeros(n + 1, U)
+    np.cumsum(_RANDOM[raw] * up[:n], out=total[1:])
+    grams = mixed((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     span = width - gram + 1  # grams of a window
     keys = (grams >> U(64 - _HASH_BITS) << U(64 - _HASH_BITS)) | np.arange(len(grams), dtype=U)
     padded = np.full(-(-len(keys) // span) * span, np.iinfo(U).max, U)
@@ -63,7 +63,7 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int =
     valid = np.cumsum(inside[:-1]) > 0
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none, none.view(U), none.view(U), none.view(U)
+        return nothing
     new = np.ones(len(at), bool)
     new[1:] = (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)
     first = at[new]
@@ -71,7 +71,10 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int =
     anchor = least[first]
     # Adjoining texts cannot share an anchor, for a window lies inside one text.
     text = np.searchsorted(offsets, first, "right") - 1
-    end = last + width
-    where = mixed((anchor - first).astype(U) << U(32) | (end - first).astype(U))
-    covers = [mixed((t[end] - t[first]) * down[first] + where) for t in totals]
-    return text, first - offsets[text], last - offsets[text], grams[anchor], covers[0], covers[1]
+    end, side = last + width, (width - gram + 1) // 2
+    low, high = np.maximum(anchor - side, 0), np.minimum(anchor + gram + side, n)
+    before = mixed((total[anchor + gram] - total[low]) * down[low] + U(1)) | U(1)
+    after = mixed((total[high] - total[anchor]) * down[anchor] + U(2)) | U(1)
+    before[anchor - side < first] = 0
+    after[anchor + gram + side > end] = 0
+    return text, first - offsets[text], last - offsets[text], anchor - first, grams[anchor], before, after

@@ -21,11 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": repeats.op10_repeats,
 }
 
-#: The others have no SQL form (fuzzy matching, trained models, sampled indexes, the
-#: tokeniser, byte offsets); tests hold them against brute force or the library.
+#: The others have no SQL form (fuzzy matching, trained models, sampled indexes,
+#: the tokeniser); tests hold them against brute force or the library.
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_minhash": minhash.OP9_SQL,
+    "op10_repeats": repeats.OP10_SQL,
 }

@@ -7,12 +7,15 @@ the least hash. Equal windows have equal anchors, so windows whose anchors
 differ need not meet, and the windows of one anchor are the windows of one short
 stretch of text.
 
-1. Stretches that occur more than once as a whole (equal anchor, place of the
-   anchor and content) are repeats in all their windows, and one stands for all.
-2. Where an anchor has several different stretches, one of each goes to the
-   anchor's shard. A shard sorts all suffixes of its stretches by external
-   induced sorting with common-prefix values; a window whose common prefix with
-   a neighbour reaches the width is a repeat.
+1. Stretches that occur more than once as a whole (by a cryptographic digest of
+   their bytes and the place of the anchor) are repeats in all their windows, and
+   one stands for all.
+2. A window reaches 100 bytes beyond its anchor on one side at least. Where an
+   anchor has several different stretches, those that have such a side in common
+   with another go to the anchor's shard; the others can share no window. A shard
+   sorts all suffixes of its stretches by external induced sorting with
+   common-prefix values; a window whose common prefix with a neighbour reaches the
+   width is a repeat.
 3. An anchor whose different stretches exceed ``HOT`` bytes goes to no shard: its
    windows are dealt out by their own digests, so equal ones still meet.
 4. Repeated windows are carried back to every stretch like theirs, joined into
@@ -44,7 +47,8 @@ BUFFER = 32 << 20
 
 
 def stretches(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """``_f``, ``_r``, the anchor's hash, a hash of the stretch, and its first and last window."""
+    """``_f``, ``_r``, the anchor's hash, ``cover`` (a digest of the stretch and the anchor's place in it),
+    its first and last window, and hashes of the anchor with what is before and after it (0 if too short)."""
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +56,16 @@ def stretches(rows: DataFrame, width: int, gram: int) -> DataFrame:
             raw, offsets = text_buffer(batch.column(2))
             for a, b in chunks(offsets):
                 own = offsets[a : b + 1]
-                text, first, last, anchor, _, cover = window_anchors(raw[own[0] : own[-1]], own - own[0], width, gram)
+                block = raw[own[0] : own[-1]]
+                text, first, last, place, anchor, before, after = window_anchors(block, own - own[0], width, gram)
+                low = own[text] - own[0] + first
+                buffer, size = memoryview(block.tobytes()), last - first + width
+                cover = [hashlib.blake2b(buffer[i : i + n], digest_size=16, salt=p.to_bytes(8, "little")).digest() for i, n, p in zip(low.tolist(), size.tolist(), place.tolist())]
                 rows = pa.array(text + a)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (anchor, cover)), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_f", "_r", "anchor", "cover", "first", "last"])
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(cover, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *(pa.array(x.view(np.int64)) for x in (before, after))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_f", "_r", "anchor", "cover", "first", "last", "before", "after"])
 
-    return rows.mapInArrow(work, "_f bigint, _r bigint, anchor bigint, cover bigint, first int, last int")
+    return rows.mapInArrow(work, "_f bigint, _r bigint, anchor bigint, cover binary, first int, last int, before bigint, after bigint")
 
 
 def _contents(texts: DataFrame, width: int) -> DataFrame:
@@ -77,7 +85,7 @@ def _contents(texts: DataFrame, width: int) -> DataFrame:
             parts = pa.array([buffer[a : a + n] for a, n in zip(low.tolist(), size.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([wanted.field(0), wanted.field(1), parts], names=["anchor", "cover", "content"])
 
-    return texts.mapInArrow(work, "anchor bigint, cover bigint, content binary")
+    return texts.mapInArrow(work, "anchor bigint, cover binary, content binary")
 
 
 def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
@@ -100,12 +108,12 @@ def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
         owner = np.searchsorted(at, low, "right") - 1
         columns = [[keys[k][0] for k in owner], [keys[k][1] for k in owner], low - at[owner], high - at[owner]]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "cover", "low", "high"])
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int]] = []
+        keys: list[tuple[int, bytes]] = []
         parts: list[bytes] = []
         size = 0
         for batch in batches:  # sorted by anchor: a sort ends between two anchors
@@ -119,7 +127,7 @@ def _sorted_shards(contents: DataFrame, shards: int, width: int) -> DataFrame:
         if parts:
             yield from ranges(keys, parts)
 
-    return contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor bigint, cover bigint, low int, high int")
+    return contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor bigint, cover binary, low int, high int")
 
 
 def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
@@ -136,7 +144,7 @@ def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
             columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), keys]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "cover", "at", "key"])
 
-    windows = scratch.write(contents.mapInArrow(work, "anchor bigint, cover bigint, at int, key binary"), "digests")
+    windows = scratch.write(contents.mapInArrow(work, "anchor bigint, cover binary, at int, key binary"), "digests")
     again = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     found = windows.join(again, "key").groupBy("anchor", "cover").agg(F.collect_list("at").alias("ats"))
     lows = "array_sort(array_except(ats, transform(ats, x -> x + 1)))"
@@ -147,14 +155,19 @@ def _digested(contents: DataFrame, scratch: Scratch, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``_f``, ``_r`` and ``windows``: the runs (low, high) of windows of each row that start elsewhere too."""
     rows = keyed(docs, scratch, {"text": F.col(f"`{text}`").cast("string")}).where(F.octet_length("text") >= width)
-    found = stretches(rows, width, gram)
-    one = {c: F.first(c).alias(c) for c in ("_f", "_r", "first", "last")}
-    kinds = found.groupBy("anchor", "cover").agg(F.count(F.lit(1)).alias("n"), *one.values())
-    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
+    found = scratch.write(stretches(rows, width, gram), "stretches")
+    one = [F.first(c).alias(c) for c in ("_f", "_r", "first", "last", "before", "after")]
+    kinds = found.groupBy("anchor", "cover").agg(F.count(F.lit(1)).alias("n"), *one)
+    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
     kinds = scratch.write(kinds.join(many, "anchor"), "kinds")
-    # Whole stretches that repeat; others are sorted together with all of the same anchor.
+    # Whole stretches that repeat; others are sorted together with all of the same anchor that share a side.
     whole = kinds.where("n > 1").select("anchor", "cover", F.lit(0).alias("low"), (F.col("last") - F.col("first")).alias("high"))
-    apart = kinds.where("kinds > 1 and least = 1")
+    sides = kinds.where("kinds > 1").select("anchor", "cover", "n", F.explode(F.array("before", "after")).alias("side")).where("side <> 0")
+    shared = sides.groupBy("anchor", "side").agg(F.count(F.lit(1)).alias("alike"), F.min("n").alias("least")).where("alike > 1 and least = 1").select("anchor", "side")
+    partners = sides.join(shared, ["anchor", "side"]).select("anchor", "cover").distinct()
+    apart = kinds.drop("kinds", "most").join(partners, ["anchor", "cover"], "left_semi")
+    alike = apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    apart = scratch.write(apart.join(alike, "anchor"), "apart")
     size = F.col("last") - F.col("first") + width
     hot = F.col("kinds") * (2 * width - gram) > HOT  # a stretch has that many bytes at most
     totals = apart.groupBy(hot.alias("hot")).agg(F.sum(size).alias("size")).collect()
@@ -173,10 +186,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", width:
     single = kinds.where("n = 1").select("anchor", "cover")
     parts = scratch.write(whole.unionByName(sorted_.join(single, ["anchor", "cover"], "left_semi")), "parts")
     # Back to all places of those stretches.
-    sought = parts.select(F.col("anchor").alias("_f"), F.col("cover").alias("_r")).distinct()
-    places = found.select(F.struct("_f", "_r").alias("row"), F.col("anchor").alias("_f"), F.col("cover").alias("_r"), "first")
-    places = sieved(places, sought).where("suspect").join(parts.select(F.col("anchor").alias("_f"), F.col("cover").alias("_r"), "low", "high"), ["_f", "_r"])
-    hits = places.select("row._f", "row._r", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    places = found.select("_f", "_r", "anchor", "cover", "first").join(parts, ["anchor", "cover"])
+    hits = places.select("_f", "_r", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     return hits.groupBy("_f", "_r").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
 
 
@@ -231,7 +242,29 @@ def _cut(rest: DataFrame, width: int) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes."""
+    """Every document without its repeated strings of 400 bytes. After the contract's columns ``text``:
+    what is left, null where a cut went through a character."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = cut_repeats(docs, Scratch(spark, "repeats"))
-    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.expr("try_validate_utf8(cast(kept as string))").alias("text"))
+
+
+OP10_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b FROM documents
+), w AS MATERIALIZED (
+  SELECT k, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT k, b, unnest(range(0, octet_length(b) - 399)) AS i FROM d)
+), r AS (
+  SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM (SELECT k, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1))
+), s AS (
+  SELECT k, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS g FROM r
+), x AS (
+  SELECT k, min(i) AS a, max(i) + 400 AS z FROM s GROUP BY k, g
+), y AS (
+  SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS p, lead(a) OVER (PARTITION BY k ORDER BY a) AS q FROM x
+), t AS (
+  SELECT d.k, sum(z - a) AS n, count(*) AS c, string_agg(hex(b[p + 1 : a]) || CASE WHEN q IS NULL THEN hex(b[z + 1 :]) ELSE '' END, '' ORDER BY a) AS kept FROM y JOIN d ON d.k = y.k GROUP BY d.k
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256, TRY(decode(coalesce(unhex(kept), b))) AS text
+FROM d LEFT JOIN t USING (k)
+"""

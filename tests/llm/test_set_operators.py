@@ -361,3 +361,26 @@ def test_too_many_patterns_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
     with pytest.raises(ValueError):
         mixing.mix(frame(spark, [(k, "a b") for k in range(9)]), scratch(spark), F.array("source"))
+
+
+def test_repeats_in_production(spark, tmp_path, monkeypatch):
+    """The production width on many small files and partitions: passages of 300 to 900 bytes, one of them in a third
+    of the documents, copies, and anchors hot enough to be dealt out by digests as well as sorted."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [some(rng.randint(45, 140)) for _ in range(60)]
+    texts = [(0, None), (1, "")]
+    for k in range(2, 900):
+        middle = passages[0] if k % 3 == 0 else rng.choice(passages) if k % 3 == 1 else some(5)
+        texts.append((k, f"{some(rng.randint(0, 120))} {middle} {some(rng.randint(0, 120))}"))
+    texts += [(1000 + k, texts[10 * k + 5][1]) for k in range(20)]
+    path = str(tmp_path / "docs")
+    frame(spark, texts).repartition(64).write.parquet(path)
+    want = cut_strings(texts, repeats.WIDTH)
+    assert sum(row[2] > 0 for row in want) > 300
+    for hot in (repeats.HOT, 20_000):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        cut = repeats.cut_repeats(spark.read.parquet(path), scratch(spark))
+        rows = cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+        assert Counter(map(tuple, rows)) == want
