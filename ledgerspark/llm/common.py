@@ -227,3 +227,20 @@ def without(rows: DataFrame, members: DataFrame) -> DataFrame:
     marked = sieved(rows, members)
     rest = marked.where("suspect").join(members.select("_f", "_r"), ["_f", "_r"], "left_anti")
     return marked.where(~F.col("suspect")).select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
+#: Keys that occur most often, whose rows are not shuffled in ``join_groups``.
+HOT_KEYS = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined to ``groups`` (a row per key, ``n`` rows each), on ``key`` without nulls.
+
+    One key may hold a third of all rows. The groups of the ``HOT_KEYS`` greatest counts are
+    broadcast, so their rows stay where they are; only those of other keys are shuffled. Both
+    sides are read twice and should be tables.
+    """
+    hot = groups.where(F.col(n) > 1).orderBy(F.desc(n)).limit(HOT_KEYS)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(groups, key)
+    return marked.where("_hot").select(*rest.columns).unionByName(rest)

@@ -137,29 +137,30 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint"), scratch(spark), "c").count() == 0
 
 
-def cut_lines(texts, run):
+def cut_lines(texts, run, long):
     seen, out = set(), []
     for _, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
         lines = (t or "").split("\n")
         gone = set()
-        for i in range(len(lines) - run + 1):
-            w = tuple(lines[i : i + run])
-            if "".join(w).strip(" \t\r"):
-                if w in seen:
-                    gone |= set(range(i, i + run))
-                seen.add(w)
+        for n in {run, 1}:
+            for i in range(len(lines) - n + 1):
+                w = tuple(lines[i : i + n])
+                if "".join(w).strip(" \t\r") and (n == run or len(w[0]) >= long):
+                    if (n, w) in seen:
+                        gone |= set(range(i, i + n))
+                    seen.add((n, w))
         out.append((_, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_lines(spark, run):
+@pytest.mark.parametrize("run, long", [(1, 80), (2, 80), (3, 4)])
+def test_lines(spark, run, long):
     rng = random.Random(run)
-    texts = [(None, "a\nb\nc"), (1, None), (2, ""), (3, "\n\n\n"), (4, "x\n" * 3000), (5, "one"), (6, "one")]
-    texts += [(10 + k, "\n".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 12)))) for k in range(40)]
+    texts = [(None, "a\nb\nc"), (1, None), (2, ""), (3, "\n\n\n"), (4, "x\n" * 3000), (5, "one"), (6, "one"), (7, "p" * 80), (8, "x\n" + "p" * 80 + "\ny"), (9, "z\n" + "p" * 80), (9, " " * 90 + "\n" + " " * 90)]
+    texts += [(10 + k, "\n".join(rng.choice(["a", "b", "c", "d", "e", "é", " ", "abcd", "dcba"]) for _ in range(rng.randint(1, 12)))) for k in range(40)]
     docs = frame(spark, texts)
-    cut = line_dedup.cut_lines(docs, scratch(spark), run=run).select("row.doc_id", "n_lines", "n_removed", "kept").collect()
-    assert Counter(map(tuple, cut)) == cut_lines(texts, run)
+    cut = line_dedup.cut_lines(docs, scratch(spark), run=run, long=long).select("row.doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(map(tuple, cut)) == cut_lines(texts, run, long)
     assert line_dedup.cut_lines(docs.where("false"), scratch(spark), run=run).count() == 0
 
 
