@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, keyed, only, with_keys, without
+from .common import Scratch, ascii_lower, join_groups, keyed, only, with_keys, without
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,7 +28,7 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _state(keys_path: str, keys: DataFrame, scratch: Scratch, bytes_per_batch: str | None) -> DataFrame:
+def _state(keys_path: str, keys: DataFrame, scratch: Scratch, bytes_per_batch: str | None, folder: str | None) -> DataFrame:
     """One row per digest: n and the struct ``keep`` (doc_id and locator of the row that stays)."""
     spark = keys.sparkSession
     source = spark.readStream.schema(keys.schema)
@@ -43,7 +43,7 @@ def _state(keys_path: str, keys: DataFrame, scratch: Scratch, bytes_per_batch: s
 
     def put(updated: DataFrame, batch: int) -> None:
         """A batch that runs again after a failure replaces its own rows."""
-        path = scratch.path(f"updates/batch={batch}")
+        path = f"{folder or scratch.base}/updates/batch={batch}"
         updated.write.mode("overwrite").parquet(path)
         if path not in batches:
             batches.append(path)
@@ -54,19 +54,22 @@ def _state(keys_path: str, keys: DataFrame, scratch: Scratch, bytes_per_batch: s
             spark.conf.set(k, v)
         query = (
             held.writeStream.outputMode("update").trigger(availableNow=True)
-            .option("checkpointLocation", scratch.path("state")).foreachBatch(put).start()
+            .option("checkpointLocation", f"{folder or scratch.base}/state").foreachBatch(put).start()
         )
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    scratch.drop("state")
     schema = "digest binary, n bigint, keep struct<doc_id: bigint, _f: bigint, _r: bigint>"
-    if not batches:
-        return spark.createDataFrame([], schema)
-    updates = spark.read.schema(schema).parquet(*batches)
-    if len(batches) == 1:
-        return updates
+    if folder:
+        updates = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/updates").drop("batch")
+    else:
+        scratch.drop("state")
+        if not batches:
+            return spark.createDataFrame([], schema)
+        updates = spark.read.schema(schema).parquet(*batches)
+        if len(batches) == 1:
+            return updates
     return updates.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("last")).select("digest", "last.n", "last.keep")
 
 
@@ -77,6 +80,7 @@ def exact_groups(
     ident: str = "doc_id",
     digest: Callable[[Column], Column] = sha256,
     bytes_per_batch: str | None = None,
+    state: str | None = None,
 ) -> DataFrame:
     """For each row of ``docs``: ``_f``, ``_r``, ``doc_id``, ``digest``, ``n`` and ``keep``.
 
@@ -84,13 +88,20 @@ def exact_groups(
     The row with the largest id stays, a null id being smallest; of rows with
     that same id the one with the largest key stays, so exactly one does. An
     empty table gives an empty result.
+
+    ``state``: a folder that keeps state and digests between calls; rows are then
+    also equal to those of earlier calls, which count in ``n`` and may be ``keep``.
+    Texts of earlier calls are compared by their digests only, those of this call in full.
     """
     content = F.coalesce(ascii_lower(F.col(f"`{text}`").cast("string")), F.lit(""))
     keys = scratch.write(keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "digest": digest(content)}), "keys")
-    groups = _state(scratch.path("keys"), keys, scratch, bytes_per_batch)
-    rows = keys.join(groups, "digest", "left").select("_f", "_r", "doc_id", "digest", "n", "keep")
+    if state:
+        keys.write.mode("append").parquet(f"{state}/keys")
+    groups = _state(f"{state}/keys" if state else scratch.path("keys"), keys, scratch, bytes_per_batch, state)
+    rows = join_groups(keys, groups, "digest").select("_f", "_r", "doc_id", "digest", "n", "keep")
+    rows = scratch.write(rows, "rows")
 
-    hits = scratch.write(keys.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("_f", "_r", "digest"), "hits")
+    hits = rows.where("n > 1").select("_f", "_r", "digest")
     texts = only(with_keys(docs, scratch).select("_f", "_r", F.coalesce(ascii_lower(F.col(f"row.`{text}`").cast("string")), F.lit("")).alias("content")), hits)
     texts = texts.withColumn("digest", digest(F.col("content")))
     clashes = texts.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("digest")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, keyed, only, text_buffer, tidy, with_keys, without
+from .common import Scratch, chunks, join_groups, keyed, only, text_buffer, tidy, with_keys, without
 from .components import components
 from .shingles import U, mixed, shingle_sets
 
@@ -244,8 +244,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     """
     held = scratch.write(signatures(docs, scratch, text, ident, words), "signatures")
     small = held.where("n_shingles > 0")
-    classes = small.groupBy("same").agg(F.min("node").alias("class"))
-    members = scratch.write(small.select("node", "same").join(classes, "same").select("node", "class"), "members")
+    classes = scratch.write(small.groupBy("same").agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
+    members = scratch.write(join_groups(small.select("node", "same"), classes, "same").select("node", "class"), "members")
     firsts = small.join(members.where("node = class").select("node"), "node", "left_semi")
     firsts = scratch.write(firsts.select("node", "_f", "_r", "n_shingles", "bits1", "bits2", "low", "bands"), "firsts")
     facts = firsts.select("node", "n_shingles", "bits1", "bits2")
@@ -269,8 +269,9 @@ def near_groups(docs: DataFrame, scratch: Scratch, text: str = "text", ident: st
     owned = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     rows = held.select("_f", "_r", "doc_id", "n_shingles", "node").join(owned, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = scratch.write(rows, "rows")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
-    out = rows.join(least.select("root", "component_id", F.col("first.node").alias("first")), "root")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"))
+    least = scratch.write(least.select("root", "component_id", F.col("first.node").alias("first"), "n"), "least")
+    out = join_groups(rows, least, "root")
     return out.select("_f", "_r", "doc_id", "n_shingles", "component_id", (F.col("node") == F.col("first")).alias("keeper"))
 
 

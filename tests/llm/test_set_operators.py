@@ -44,6 +44,13 @@ def test_exact_drops_and_batches(spark):
     assert exact_dedup.drop_copies(docs.where("false"), scratch(spark)).count() == 0
 
 
+def test_exact_keeps_state_between_calls(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    for texts, want in (([(1, "a"), (2, "b")], {1: (1, 1), 2: (2, 1)}), ([(3, "A"), (4, "c")], {3: (3, 2), 4: (4, 1)}), ([(0, "b"), (5, "x")], {0: (2, 2), 5: (5, 1)})):
+        rows = exact_dedup.exact_groups(frame(spark, texts), scratch(spark), state=state).collect()
+        assert {r.doc_id: (r.keep.doc_id, r.n) for r in rows} == want
+
+
 def jaccard_components(texts, k, percent):
     lower = {c: c + 32 for c in range(65, 91)}
     sets = []
