@@ -1,26 +1,33 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is read into blocks of text (what stands between block-level tags).
-For every block a classifier's costs of calling it content or boilerplate, from
-the containers around it, their class names, its links and its length, become
-the capacities to the two terminals. Blocks that follow each other, and blocks
-that are near in the DOM, are joined by smoothness edges. The minimum cut is the
-labelling of least total cost; blocks on the content side are the main text.
+For every block the costs of calling it content or boilerplate become the
+capacities to the two terminals. Where the page says by its elements or their
+names what a part is, those costs are high. Elsewhere they are the log-odds of a
+classifier of the block's form (tag, length, links, punctuation), which is fitted
+on a bounded sample of the pages: blocks that their page declares are its
+examples. Blocks that follow each other, and blocks that are near in the DOM, are
+joined by smoothness edges of about the same weight, so that a short line between
+paragraphs goes with them, and a sentence in a menu with the menu. The minimum cut
+is the labelling of least total cost; blocks on the content side are the main text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
+from .quality import Logistic
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,23 +74,57 @@ NEGATION = frozenset("has with no without".split())
 LEGAL = re.compile(r"©|\(c\) |copyright\b|all rights reserved", re.I)
 SPACES = re.compile(r"\s+")
 
-#: Costs of the terminals and edges; the containers outweigh any sum of smoothness a block can meet.
+#: Costs of the terminals and edges; declared parts outweigh any sum of smoothness a block can meet.
 CONTAINER = 8.0
 WEAK = -2.5
-NEXT_EDGE = 0.2
-NEAR_EDGE = 0.3
+MOST_ODDS = 2.5
+NEXT_EDGE = 1.1
+NEAR_EDGE = 0.7
+#: Declared parts cut the ties to their neighbours: what is near them in the DOM may still be another part.
+TIE = 0.3
+#: Pages (each of so many bytes) and blocks on which the classifier is fitted, at most, and blocks of either class that it needs.
+PAGES = 400
+BLOCKS = 20_000
+PAGE_BYTES = 1 << 18
+ENOUGH = 50
+
+FORM = ("paragraph", "heading", "item", "log_size", "links", "sentence", "marks", "legal")
+#: The log-odds that count where there are too few examples: a summand, then a weight for each of FORM.
+PLAIN_ODDS = (-3.5, 0.5, 0.5, -0.5, 1.0, -4.0, 1.0, 0.1, -3.0)
+ITEMS = frozenset("li td th dt dd tr".split())
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    path: tuple[int, ...]  # elements around it, outermost first
+    parent: int  # the element that holds the block's own
     inside: float  # positive inside article or main, negative inside boilerplate
-    heading: bool
+    tag: str  # the heading around it, or the block-level element
     part: int = 0  # the outermost element around it that is judged by its text
     outside: bool = False  # that element is in no article
 
+    def form(self) -> list[float]:
+        """The features FORM."""
+        size = len(self.text)
+        marks = sum(map(self.text.count, ",.;:!?"))
+        return [self.tag == "p", self.tag in HEADINGS, self.tag in ITEMS, math.log1p(size), self.linked / max(1, size), self.text[-1] in ".!?…\"”", 100 * marks / size, size < 200 and LEGAL.match(self.text) is not None]
+
+
+@dataclass
+class _Open:
+    """An open element: its name and number, and what it says of the text in it."""
+
+    name: str
+    number: int
+    standing: float
+    own: int  # the nearest element that isn't inline, and the one around that
+    parent: int
+    tag: str
+    part: int
+    article: bool
+
 
 def _standing(tag: str, attributes: str, above: float) -> float:
     """What an element says of the text inside it, given what its parents say."""
@@ -120,9 +161,10 @@ def _standing(tag: str, attributes: str, above: float) -> float:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # name, number, standing
+    stack = [_Open("", 0, 0.0, 0, 0, "-", 0, False)]
+    count: dict[str, int] = {}  # open elements of each name
     parts: list[tuple[str, bool]] = []
-    number, links, at, end = 0, 0, 0, len(page)
+    number, at, end = 0, 0, len(page)
     lowered = ""
 
     def flush() -> None:
@@ -130,23 +172,29 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
             if text:
-                linked = sum(len(p) for p, a in parts if a)
-                heading = any(len(n) == 2 and n[0] == "h" and n[1].isdigit() for n, _, _ in stack)
-                part = next((k for _, k, s in stack if s == WEAK), 0) if stack[-1][2] == WEAK else 0
-                outside = part > 0 and all(s < CONTAINER for _, _, s in stack)
-                out.append(Block(text, linked, tuple(k for n, k, _ in stack if n not in INLINE), stack[-1][2], heading, part, outside))
+                top = stack[-1]
+                out.append(Block(text, sum(len(p) for p, a in parts if a), top.parent, top.standing, top.tag, top.part, top.part > 0 and not top.article))
             parts = []
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal number
+        number += 1
+        top, standing = stack[-1], _standing(tag, attributes, stack[-1].standing)
+        heading = tag in HEADINGS
+        block = tag not in INLINE
+        part = (top.part or number) if standing == WEAK else 0
+        stack.append(_Open(tag, number, standing, number if block else top.own, top.own if block else top.parent, tag if heading or block and top.tag not in HEADINGS else top.tag, part, top.article or standing >= CONTAINER))
+        count[tag] = count.get(tag, 0) + 1
+
     def pop_to(depth: int) -> None:
-        nonlocal links
-        for name, _, _ in stack[depth:]:
-            links -= name == "a"
+        for e in stack[depth:]:
+            count[e.name] -= 1
         del stack[depth:]
 
     while at < end:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
-            parts.append((page[at : m.start() if m else end], links > 0))
+            parts.append((page[at : m.start() if m else end], count.get("a", 0) > 0))
         if m is None:
             break
         at = max(m.end(), m.start() + 1)
@@ -156,9 +204,8 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
-                pop_to(depth)
+            if count.get(tag):
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == tag))
             continue
         if tag in RAW:
             if not m[3].endswith("/") or tag not in ("svg", "math"):
@@ -177,46 +224,57 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "br":
                 parts.append((" ", False))
             elif tag not in VOID:
-                number += 1
-                links += tag == "a"
-                stack.append((tag, number, _standing(tag, m[3], stack[-1][2])))
+                push(tag, m[3])
             continue
         flush()
-        if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), 0)
-            if depth and stack[depth][0] == "p":
+        if tag in CLOSES_P and count.get("p"):
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name not in INLINE), 0)
+            if depth and stack[depth].name == "p":
                 pop_to(depth)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(map(count.get, SIBLINGS[tag][0])):
             same, holders = SIBLINGS[tag]
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in holders:
+                if stack[k].name in holders:
                     break
-                if stack[k][0] in same:
+                if stack[k].name in same:
                     pop_to(k)
                     break
         if tag not in VOID:
-            number += 1
-            stack.append((tag, number, _standing(tag, m[3], stack[-1][2])))
+            push(tag, m[3])
     flush()
     return out
 
 
-def costs(block: Block, marked: bool, whole: tuple[int, int] | None = None) -> tuple[float, float]:
+def costs(block: Block, marked: bool, odds: Sequence[float] = PLAIN_ODDS, whole: tuple[int, int] | None = None) -> tuple[float, float]:
     """The costs of calling a block boilerplate and of calling it content.
 
-    ``marked``: the page has an article or main element. ``whole``: the length
-    of all text in the block's part, and of what is linked there.
+    ``marked``: the page has an article or main element. ``odds``: the classifier's summand and weights.
+    ``whole``: the length of all text in the block's part, and of what is linked there.
     """
-    size, linked = whole or (len(block.text), block.linked)
     score = block.inside
-    if not marked or block.inside:
-        score += 1.0 + min(2.0, size / 100) - 4.0 * min(1.0, linked / max(1, size)) + (0.5 if block.heading and not whole else 0.0)
-        score -= 3.0 if size < 200 and LEGAL.match(block.text) else 0.0
+    if whole:
+        score += 1.0 + min(2.0, whole[0] / 100) - 4.0 * min(1.0, whole[1] / max(1, whole[0]))
+    elif not marked:
+        said = odds[0] + sum(w * x for w, x in zip(odds[1:], block.form()))
+        score += max(-MOST_ODDS, min(MOST_ODDS, said))
     if marked and (block.inside == 0 or block.outside):
         score -= CONTAINER / 2
     return max(score, 0.0), max(-score, 0.0)
 
 
+def fitted_odds(forms: np.ndarray, content: np.ndarray) -> tuple[float, ...]:
+    """The classifier's summand and weights, from blocks that their pages declare, each class with the same weight."""
+    if min(content.sum(), (1 - content).sum()) < ENOUGH:
+        return PLAIN_ODDS
+    # Rows of the rarer class are repeated, so that log-odds of 0 mean neither.
+    at = [np.flatnonzero(content == c) for c in (0, 1)]
+    size = max(map(len, at))
+    rows = np.concatenate([np.resize(a, size) for a in at])
+    model = Logistic.fit(forms[rows], content[rows])
+    weights = model.weights[:-1] / model.scale
+    return (float(model.weights[-1] - weights @ model.mean), *map(float, weights))
+
+
 def min_cut(to_content: Sequence[float], to_boilerplate: Sequence[float], edges: Sequence[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the content side of a minimum cut (Dinic's maximum flow)."""
     n = len(to_content)
@@ -281,45 +339,70 @@ def min_cut(to_content: Sequence[float], to_boilerplate: Sequence[float], edges:
             a = to[e]
 
 
-def main_text(page: str | None) -> tuple[str, int, int]:
-    """The main text of a page, and how many of its blocks are content and not."""
-    blocks = blocks_of(page) if page else []
-    if not blocks:
-        return "", 0, 0
+def labels(blocks: Sequence[Block], odds: Sequence[float] = PLAIN_ODDS, smooth: bool = True) -> list[bool]:
+    """Which blocks of a page are content; ``smooth``: with edges between blocks."""
     marked = any(b.inside >= CONTAINER for b in blocks)
     wholes: dict[int, tuple[int, int]] = {}
     for b in blocks:
         if b.part:
             size, linked = wholes.get(b.part, (0, 0))
             wholes[b.part] = (size + len(b.text), linked + b.linked)
-    terminal = [costs(b, marked, wholes.get(b.part)) for b in blocks]
+    terminal = [costs(b, marked, odds, wholes.get(b.part)) for b in blocks]
     edges: list[tuple[int, int, float]] = []
     near: dict[int, int] = {}
-    for k, b in enumerate(blocks):
+    for k, b in enumerate(blocks if smooth else ()):
+        declared = lambda j, b=b: bool(b.inside or blocks[j].inside or marked)
         if k:
-            edges.append((k - 1, k, NEXT_EDGE))
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if parent in near:
-            edges.append((near[parent], k, NEAR_EDGE))
-        near[parent] = k
-    content = min_cut([a for a, _ in terminal], [b for _, b in terminal], edges)
-    chosen = [b.text for b, c in zip(blocks, content) if c]
+            edges.append((k - 1, k, NEXT_EDGE * (TIE if declared(k - 1) else 1.0)))
+        if b.parent in near:
+            edges.append((near[b.parent], k, NEAR_EDGE * (TIE if declared(near[b.parent]) else 1.0)))
+        near[b.parent] = k
+    return min_cut([a for a, _ in terminal], [b for _, b in terminal], edges)
+
+
+def main_text(page: str | None, odds: Sequence[float] = PLAIN_ODDS) -> tuple[str, int, int]:
+    """The main text of a page, and how many of its blocks are content and not."""
+    blocks = blocks_of(page) if page else []
+    chosen = [b.text for b, c in zip(blocks, labels(blocks, odds)) if c]
     return "\n".join(chosen), len(chosen), len(blocks) - len(chosen)
 
 
+def _fitted(pages: DataFrame, column: str) -> tuple[float, ...]:
+    """The classifier, from at most BLOCKS declared blocks of at most PAGES pages, chosen by a hash of the page."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            forms, content = [], []
+            for page in batch.column(0).to_pylist():
+                for b in blocks_of(page):
+                    if abs(b.inside) >= CONTAINER:
+                        forms.append([float(x) for x in b.form()])
+                        content.append(int(b.inside > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.list_(pa.float64())), pa.array(content, pa.int32())], names=["form", "content"])
+
+    html_ = F.col(f"`{column}`").cast("string")
+    sample = pages.select(F.xxhash64(html_).alias("h"), html_.alias("html")).where(F.octet_length("html") <= PAGE_BYTES).orderBy("h", "html").limit(PAGES).select("html")
+    found = sample.mapInArrow(work, "form array<double>, content int").limit(BLOCKS).toArrow()
+    forms = np.array(found.column("form").to_pylist(), float).reshape(-1, len(FORM))
+    return fitted_odds(forms, found.column("content").to_numpy().astype(float))
+
+
 def extract_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), column: str = "html") -> DataFrame:
     """Columns ``keep`` of every row, then ``text``, ``n_blocks`` and ``n_boilerplate``.
 
     A null page counts as empty, and a page without main text gives an empty
-    string. Rows are independent: repeats and null ids change nothing, an empty
-    table gives an empty one. Where nothing is on either side, a block that no
+    string. But for the classifier's sample rows are independent: repeats and null
+    ids change nothing, an empty table gives an empty one. Where nothing is on either side, a block that no
     capacity ties to the content terminal is boilerplate.
     """
 
+    odds = _fitted(pages, column)
+
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [main_text(p) for p in batch.column(len(keep)).to_pylist()]
+            found = [main_text(p, odds) for p in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.int32()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, "text", "n_blocks", "n_boilerplate"])
 

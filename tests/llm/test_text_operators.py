@@ -201,6 +201,71 @@ def test_min_cut_against_all_labellings():
         assert cost(html_text.min_cut(a, b, edges)) == min(cost([m >> k & 1 for k in range(n)]) for m in range(1 << n))
 
 
+def plain_page(rng):
+    """A page of divs without telling names, and which of its blocks are content: paragraphs, some of a word or two,
+    between a menu, a list of links with a sentence among them, and small print."""
+    words = "the a of lake stone river walked green after before house was light under many slowly north winter".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    link = lambda: f"<a href='/x'>{some(rng.randint(1, 3)).capitalize()}</a>"
+    out, truth = ["<body><div class=c1><div>"], []
+    for _ in range(rng.randint(4, 9)):
+        out.append(f"<div>{link()}</div>")
+        truth.append(False)
+    out.append("</div></div><div class=c2>")
+    for k in range(rng.randint(6, 14)):
+        short = 0 < k and rng.random() < 0.25
+        out.append(f"<p>{some(rng.randint(1, 3) if short else rng.randint(15, 60)).capitalize()}{'' if short else ', ' + some(4) + '.'}</p>")
+        truth.append(True)
+    out.append("</div><div class=c3><ul>")
+    for _ in range(rng.randint(5, 10)):
+        plain = rng.random() < 0.15
+        out.append(f"<li>{some(7).capitalize() + '.' if plain else link()}</li>")
+        truth.append(False)
+    out.append(f"</ul></div><div class=c4><div>{some(3)}</div><div>{link()} | {link()}</div></div></body>")
+    truth += [False, False]
+    return "".join(out), truth
+
+
+def test_cut_improves_pages_without_declared_parts():
+    rng = random.Random(11)
+    right = {True: 0, False: 0}
+    changed = total = 0
+    for _ in range(150):
+        page, truth = plain_page(rng)
+        blocks = html_text.blocks_of(page)
+        assert len(blocks) == len(truth)
+        found = {smooth: html_text.labels(blocks, smooth=smooth) for smooth in (True, False)}
+        for smooth, own in found.items():
+            right[smooth] += sum(a == b for a, b in zip(own, truth))
+        changed += sum(a != b for a, b in zip(*found.values()))
+        total += len(truth)
+    assert changed > 0.03 * total and right[True] > right[False] + 0.03 * total and right[True] > 0.97 * total
+
+
+def test_classifier_learns_from_declared_blocks(spark):
+    """A site whose paragraphs are table cells: the fitted classifier finds them on its pages without an article."""
+    rng = random.Random(12)
+    words = "lake stone river walked green after before house light under".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    body = lambda: "".join(f"<table><tr><td>{some(14)}; {some(8)}</td></tr></table>" for _ in range(12))
+    menu = "".join(f"<p>{w.capitalize()} page.</p>" for w in words)
+    rows = [(k, "u", f"<nav>{menu}</nav><article>{body()}</article>") for k in range(30)]
+    plain = body()
+    rows.append((99, "u", f"<div>{menu}</div><div>{plain}</div>"))
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out[99].split("\n") == [t for t in __import__("re").findall(r"<td>(.*?)</td>", plain)]
+
+
+def test_deep_nesting_is_linear():
+    import resource
+    import time
+
+    page = "<div>x " * 40_000
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (3, "u", "", 3), (4, "u", "<article>" + "<p>word word</p>" * 3000, 4)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_blocks int")
