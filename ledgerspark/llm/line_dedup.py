@@ -29,17 +29,17 @@ def _fingerprints(run: int, long: int) -> str:
     that selected it. A window's key is the hashes of its lines; a long line's a second hash too.
     Each ``transform(array(x), v -> ...)[0]`` evaluates x once."""
     part = f"slice(hs, i + 1, {run})"
-    blank = "trim(translate(x, '\\t\\r', '  ')) = ''"
     window = (
         f"named_struct('i', i, 'at', i + cast(array_position({part}, array_min({part})) as int) - 1, "
-        f"'key', if(exists(slice(ls, i + 1, {run}), x -> not ({blank})), {part}, null))"
+        f"'key', if(exists(slice(full, i + 1, {run}), x -> x), {part}, null))"
     )
     windows = f"if(size(ls) < {run}, array(), transform(sequence(0, greatest(size(ls) - {run}, 0)), i -> {window}))"
     own = f"transform(filter(slice(ws, greatest(p - {run - 1}, 0) + 1, {run}), w -> w.at = p and w.key is not null), w -> named_struct('i', w.i, 'n', {run}, 'key', w.key))"
-    alone = f"if(length(ls[p]) >= {long} and not (transform(array(ls[p]), x -> {blank})[0]), array(named_struct('i', p, 'n', 1, 'key', array(hs[p], xxhash64(reverse(ls[p]))))), array())"
+    alone = f"if(full[p] and length(ls[p]) >= {long}, array(named_struct('i', p, 'n', 1, 'key', array(hs[p], xxhash64(reverse(ls[p]))))), array())"
     found = f"filter(transform(sequence(0, size(hs) - 1), p -> named_struct('fp', hs[p], 'own', concat({own}, {alone}))), f -> size(f.own) > 0)"
-    hashes = "transform(ls, x -> xxhash64(x))"
-    return f"transform(array(lines), ls -> transform(array({hashes}), hs -> transform(array({windows}), ws -> {found})[0])[0])[0]"
+    hashes, full = "transform(ls, x -> xxhash64(x))", "transform(ls, x -> btrim(x, ' \\t\\r') <> '')"
+    inner = f"transform(array({hashes}), hs -> transform(array({full}), full -> transform(array({windows}), ws -> {found})[0])[0])[0]"
+    return f"transform(array(lines), ls -> {inner})[0]"
 
 
 def later_windows(docs: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id", run: int = RUN, long: int = LONG) -> DataFrame:
