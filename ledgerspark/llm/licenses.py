@@ -11,6 +11,7 @@ edits or none.
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
@@ -89,42 +90,51 @@ class Notice:
             self.pattern = regex.compile(rb"(?b)" + fuzzy(before) + firm + fuzzy(after) + end)
 
 
+def _matches(notice: Notice, buffer: bytes, low: int, high: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The best match inside a window, with the window: errors, start, end, low, high."""
+    if high - low >= len(notice.words) - notice.edits:
+        m = notice.pattern.search(buffer, low, high)
+        if m and m.end() > m.start() and sum(m.fuzzy_counts) <= notice.edits:
+            yield sum(m.fuzzy_counts), m.start(), m.end(), low, high
+
+
 def fuzzy_spans(buffer: bytes, ends: list[int], notice: Notice) -> list[tuple[int, int, int, int]]:
     """(text, start, end, errors) of matches in texts that lie in ``buffer`` one after another.
 
-    ``ends``: the end of each text. Candidates whose windows meet are searched
-    as one; of matches that overlap in a text the one with fewest errors stays,
-    then the first.
+    ``ends``: the end of each text. Every candidate is searched in a window a little longer than
+    the notice. Of matches that overlap the one with fewest errors stays, then the first; what the
+    others' windows hold on either side of it is searched again, so the time grows with the candidates.
     """
-    windows: list[list[int]] = []
-    found: set[tuple[int, int]] = set()
+    windows: set[tuple[int, int]] = set()
     for offset, piece in notice.pieces:
         at = buffer.find(piece)
         while at >= 0:
             k = bisect_right(ends, at)
-            low = max(ends[k - 1] if k else 0, at - offset - notice.edits - 1)
-            high = min(ends[k], at - offset + len(notice.words) + notice.edits + 1)
             if at + len(piece) <= ends[k]:
-                found.add((low, high))
+                low = max(ends[k - 1] if k else 0, at - offset - notice.edits - 1)
+                windows.add((low, min(ends[k], at - offset + len(notice.words) + notice.edits + 1)))
             at = buffer.find(piece, at + 1)
-    texts: list[int] = []
-    for low, high in sorted(found):
-        k = bisect_right(ends, low)
-        if windows and texts[-1] == k and low <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], high)
-        else:
-            windows.append([low, high])
-            texts.append(k)
+    heap = [m for low, high in windows for m in _matches(notice, buffer, low, high)]
+    heapq.heapify(heap)
+    starts: list[int] = []  # of chosen spans, in order, and their ends
+    stops: list[int] = []
     out = []
-    for k, (low, high) in zip(texts, windows):
-        parts = [(low, high)]
-        while parts:  # the best match, then what lies on either side of it
-            low, high = parts.pop()
-            m = notice.pattern.search(buffer, low, high)
-            if m and m.end() > m.start() and sum(m.fuzzy_counts) <= notice.edits:
-                out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                parts += [(m.end(), high), (low, m.start())]
-    return out
+    while heap:
+        errors, start, end, low, high = heapq.heappop(heap)
+        k = bisect_right(stops, start)
+        if k == len(starts) or starts[k] >= end:
+            starts.insert(k, start)
+            stops.insert(k, end)
+            out.append((bisect_right(ends, start), start, end, errors))
+        else:  # free parts of the window, between the chosen spans
+            k, at = bisect_right(stops, low), low
+            while k < len(starts) and starts[k] < high:
+                for m in _matches(notice, buffer, at, min(starts[k], high)):
+                    heapq.heappush(heap, m)
+                at, k = stops[k], k + 1
+            for m in _matches(notice, buffer, at, high):
+                heapq.heappush(heap, m)
+    return sorted(out)
 
 
 class LicenseScanner:
@@ -215,3 +225,25 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(F.col("exact.label"), F.col("spans.label"))).alias("labels"),
         F.when(F.size("exact") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.similarity"), F.lit(0.0))).alias("score"),
     )
+
+
+BASE = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_licenses`` that SQL can express: the exact phrases."""
+    return op4_licenses(spark, sf_dir).select(*BASE)
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES %s) v(phrase, label)
+), x AS (
+  SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) JOIN p ON w[i + 1] = phrase[1] AND w[i + 1 : i + len(phrase)] = phrase
+), g AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM x GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+""" % ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())

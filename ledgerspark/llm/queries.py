@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_minhash": minhash.op9_minhash,
     "op10_repeats": repeats.op10_repeats,
+    "license_base": licenses.license_base,
 }
 
 #: The others have no SQL form (fuzzy matching, trained models, sampled indexes,
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_minhash": minhash.OP9_SQL,
     "op10_repeats": repeats.OP10_SQL,
+    "license_base": licenses.BASE_SQL,
 }

@@ -88,6 +88,20 @@ def test_fuzzy_notices_against_edit_distance():
                 assert min(mine) == least
 
 
+def test_near_matches_of_a_long_text_take_linear_time():
+    import time
+
+    scanner = licenses.LicenseScanner()
+    took = []
+    for n in (2_000, 20_000):
+        raw = np.frombuffer(b"all rights resorved " * n, np.uint8)
+        began = time.time()
+        spans = scanner.scan(raw, np.array([0, len(raw)]))[2][0]
+        took.append(time.time() - began)
+        assert [s[1] for s in spans] == list(range(0, 3 * n, 3)) and {s[3] for s in spans} == {1}
+    assert took[1] < 25 * took[0] + 1
+
+
 def test_license_rows(spark):
     rows = [
         (1, "Under the GNU General\nPublic-License!", None), (2, "cc by; CC-BY accbyx", None), (3, None, None), (4, "", None), (5, "gnu general public", None), (6, "license mit", None),
