@@ -277,6 +277,31 @@ def test_neighbours_recall(spark, scale):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_in_clusters_need_few_candidates(spark, monkeypatch):
+    """Data with structure, several shards: recall by comparing few rows, whatever the partitions."""
+    monkeypatch.setattr(ann, "SHARD", 3000)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(200, 32)) * 5, 40, axis=0) + rng.normal(size=(8000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found, compared = defaultdict(set), []
+    for r in ann.nearest(table, scratch(spark), F.col("vec_id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+        compared.append(r.compared)
+    hit = 0
+    for q in range(0, 8000, 100):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hit += len(set(np.argsort(far)[:10].tolist()) & found[q])
+    assert hit >= 0.9 * 800 and np.mean(compared) < 0.25 * 8000 / 3
+
+
+def test_neighbours_of_several_lengths(spark):
+    rows = [(k, [float(k), 1.0] if k % 2 else [float(k), 2.0, 3.0]) for k in range(1, 60)] + [(0, [0.5, 1.0]), (100, [1.0, 2.0, 3.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scratch(spark), F.col("vec_id") % 100 == 0).collect()
+    near = lambda q: [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q]
+    assert near(0) == list(range(1, 20, 2)) and near(100) == list(range(2, 21, 2))
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 100, "c": 100})
     assert t == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
