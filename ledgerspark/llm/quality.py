@@ -1,33 +1,36 @@
 """Quality classifier by co-training of two views.
 
 One classifier sees only the text (shares of symbols, capitals, repeats and the
-like), the other only metadata (language, source, length). In rounds, each
-labels the unlabelled rows of which it is most sure, by probabilities calibrated
-on rows held out of training, and hands them to the other as training rows.
-Finally both are fitted once more and calibrated, and a combination of their
-log-odds, fitted on the held-out rows, scores every document.
+like), the other only metadata (language, source, length). In rounds, each scores
+all unlabelled rows, in a distributed pass, and hands those of which it is most
+sure, by probabilities calibrated on rows held out of training, to the other as
+training rows. Finally both are fitted once more and calibrated, and a combination
+of their log-odds, fitted on the held-out rows, scores every document. Equal texts
+are on the same side of the hold-out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, byte_class, chunks, keyed, text_buffer, tidy, with_keys, without
-from .shingles import word_hashes
+from .shingles import mixed, word_hashes
 
-#: Bounds of the samples that the classifiers are fitted on: labelled rows and unlabelled ones.
+#: Labelled rows that the classifiers are fitted on, at most.
 LABELLED = 20_000
-POOL = 20_000
 ROUNDS = 4
 #: A view hands over rows that it is so sure of, and so many of a class a round at most.
 SURE = 0.98
 HANDED = 1_000
+#: Parts in which the best rows of a pick are chosen first.
+SALTS = 64
 #: Documents of a lower score are rejected.
 THRESHOLD = 0.5
 #: Buckets of hashed languages and sources.
@@ -93,27 +96,27 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Per row: key, doc_id, ``a`` (text features) and ``b`` (metadata features).
+    """Per row: key, doc_id, ``side`` (a hash of the text, 0 to 4), ``a`` (text features) and ``b`` (metadata features).
 
     Metadata columns that the table lacks, and nulls in them, have buckets of their own.
     """
     have = {c.lower() for c in docs.columns}
     bucket = lambda c, n: F.when(F.col(c).isNull(), n).otherwise(F.pmod(F.xxhash64(c), F.lit(n))).cast("int") if c in have else F.lit(n)
     content = F.col(f"`{text}`").cast("string")
-    rows = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "text": content, "lang": bucket("lang", LANGS), "source": bucket("source", SOURCES), "size": F.coalesce(F.char_length(content), F.lit(0))})
+    rows = keyed(docs, scratch, {"doc_id": F.col(f"`{ident}`").cast("long"), "side": F.pmod(F.xxhash64(F.coalesce(content, F.lit(""))), F.lit(5)).cast("int"), "text": content, "lang": bucket("lang", LANGS), "source": bucket("source", SOURCES), "size": F.coalesce(F.char_length(content), F.lit(0))})
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(3))
-            lang, source, size = (batch.column(k).to_numpy() for k in (4, 5, 6))
+            raw, offsets = text_buffer(batch.column(4))
+            lang, source, size = (batch.column(k).to_numpy() for k in (5, 6, 7))
             for a, b in chunks(offsets):
                 own = offsets[a : b + 1]
                 views = [text_features(raw[own[0] : own[-1]], own - own[0]), meta_features(lang[a:b], source[a:b], size[a:b])]
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * v.shape[1]), pa.array(v.astype(np.float32).ravel())) for v in views]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *lists], names=["_f", "_r", "doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(4)), *lists], names=["_f", "_r", "doc_id", "side", "a", "b"])
 
-    return rows.mapInArrow(work, "_f bigint, _r bigint, doc_id bigint, a array<float>, b array<float>")
+    return rows.mapInArrow(work, "_f bigint, _r bigint, doc_id bigint, side int, a array<float>, b array<float>")
 
 
 def meta_features(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -160,12 +163,12 @@ class Logistic:
 
 @dataclass
 class Model:
-    """Both views, their calibrations, and the combination."""
+    """Both views, their calibrations, the combination, and what was handed over: round, view, label, rows."""
 
     views: tuple[Logistic, Logistic]
     calibrations: tuple[Logistic, Logistic]
     combination: Logistic
-    prior: float = 0.5
+    handed: list[tuple[int, int, int, int]]
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the views, and of both together."""
@@ -174,40 +177,92 @@ class Model:
         return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(both)
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model | None:
-    """A model from labelled rows (text view, metadata view, label) and unlabelled ones.
+#: Gives the rows of which the views are sure: from the views, their calibrations and the keys that each view got before,
+#: for each view and label the keys and both feature arrays of HANDED rows at most, best first.
+Picker = Callable[[tuple, tuple, list], dict[tuple[int, int], tuple[list, np.ndarray, np.ndarray]]]
 
-    Every fifth labelled row is held out, for calibration only. None if either
-    part lacks a class.
+
+def sureness(view: Logistic, calibration: Logistic, x: np.ndarray, label: int) -> np.ndarray:
+    """How sure a view is of a label."""
+    p = _sigmoid(calibration.odds(view.odds(x)[:, None]))
+    return p if label else 1 - p
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pick: Picker, rounds: int = ROUNDS) -> Model | None:
+    """A model from labelled rows (side, text view, metadata view, label) and a picker among unlabelled ones.
+
+    Rows of side 4 are held out, for calibration only; every fifth row where that (few
+    different texts) leaves a part without a class. None if either part lacks one then too.
     """
-    a, b, y = labelled
-    held = np.arange(len(y)) % 5 == 4
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
+    side, a, b, y = labelled
+    lacks = lambda held: min(len(np.unique(y[held])), len(np.unique(y[~held]))) < 2
+    held = side == 4
+    if lacks(held):
+        held = np.arange(len(y)) % 5 == 4
+    if lacks(held):
         return None
     train = [(a[~held], y[~held]), (b[~held], y[~held])]
     apart = (a[held], b[held])
-    left = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]  # rows a view may still get
+    got: list[set] = [set(), set()]  # keys that a view got before
+    handed: list[tuple[int, int, int, int]] = []
     for k in range(rounds + 1):
         views = tuple(Logistic.fit(*t) for t in train)
         calibrations = tuple(Logistic.fit(v.odds(x)[:, None], y[held]) for v, x in zip(views, apart))
-        if k == rounds or not len(pool[0]):
+        if k == rounds:
             break
-        handed = 0
-        for view in (0, 1):
+        before = len(handed)
+        for (view, label), (keys, *found) in pick(views, calibrations, got).items():
             other = 1 - view
-            p = _sigmoid(calibrations[view].odds(views[view].odds(pool[view])[:, None]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.flatnonzero((sure >= SURE) & left[other])
-                best = best[np.argsort(-sure[best], kind="stable")][:HANDED]
-                if len(best):
-                    left[other][best] = False
-                    x, t = train[other]
-                    train[other] = np.concatenate([x, pool[other][best]]), np.concatenate([t, np.full(len(best), label)])
-                    handed += len(best)
-        if not handed:
+            if keys:
+                got[other].update(keys)
+                x, t = train[other]
+                train[other] = np.concatenate([x, found[other]]), np.concatenate([t, np.full(len(keys), label)])
+                handed.append((k, view, label, len(keys)))
+        if len(handed) == before:
             break
     odds = np.stack([c.odds(v.odds(x)[:, None]) for v, c, x in zip(views, calibrations, apart)], 1)
-    return Model(views, calibrations, Logistic.fit(odds, y[held]))
+    return Model(views, calibrations, Logistic.fit(odds, y[held]), handed)
+
+
+def _key(f: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return mixed(f.view(np.uint64)) + r.view(np.uint64)
+
+
+def _distributed(rest: DataFrame) -> Picker:
+    """Picks among all rows of a table of features, in one pass a round: the best of each batch, then of each of SALTS parts, then of all."""
+
+    def pick(views: tuple, calibrations: tuple, got: list) -> dict[tuple[int, int], tuple[list, np.ndarray, np.ndarray]]:
+        hashes = [np.sort(_key(*np.array(sorted(g), np.int64).reshape(-1, 2).T.copy())) for g in got]
+
+        @tidy
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                f, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for view in (0, 1):
+                    x = batch.column(4 + view).flatten().to_numpy().astype(np.float64).reshape(len(batch), -1)
+                    new = np.ones(len(batch), bool)
+                    for i in np.flatnonzero(np.isin(_key(f, r), hashes[1 - view])).tolist():
+                        new[i] = (int(f[i]), int(r[i])) not in got[1 - view]
+                    for label in (1, 0):
+                        sure = sureness(views[view], calibrations[view], x, label) if len(batch) else np.zeros(0)
+                        at = np.flatnonzero(new & (sure >= SURE))
+                        at = at[np.lexsort((r[at], f[at], -sure[at]))[:HANDED]]
+                        own = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sure[at]), pa.array(np.full(len(at), 2 * view + label, np.int32))], names=[*batch.schema.names, "sure", "tag"])
+
+        sure = rest.mapInArrow(work, "_f bigint, _r bigint, doc_id bigint, side int, a array<float>, b array<float>, sure double, tag int")
+        for salt in ([F.pmod(F.xxhash64("_f", "_r"), F.lit(SALTS))], []):
+            best = Window.partitionBy("tag", *salt).orderBy(F.desc("sure"), "_f", "_r")
+            sure = sure.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HANDED).drop("rank")
+        tag, sure_, f, r, a, b = _arrays(sure, ("tag", "sure", "_f", "_r", "a", "b"))
+        out = {}
+        for view, label in ((0, 1), (0, 0), (1, 1), (1, 0)):
+            at = np.flatnonzero(tag == 2 * view + label)
+            at = at[np.lexsort((r[at], f[at], -sure_[at]))]
+            out[view, label] = list(zip(f[at].tolist(), r[at].tolist())), a[at], b[at]
+        return out
+
+    return pick
 
 
 def _arrays(rows: DataFrame, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -222,28 +277,32 @@ def _arrays(rows: DataFrame, names: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id", label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def fit(seen: DataFrame, labels: DataFrame, ident: str = "doc_id", label: str = "quality", labelled: int = LABELLED) -> Model | None:
+    """The model from a table of features and labels."""
+    known = labels.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    sample = _arrays(seen.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_f", "_r").limit(labelled), ("side", "a", "b", "y"))
+    return co_train((*sample[:3], (sample[3] > 0).astype(float)), _distributed(seen.join(known, "doc_id", "left_anti").select(*seen.columns)))
+
+
+def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", ident: str = "doc_id", label: str = "quality", labelled: int = LABELLED) -> DataFrame:
     """Per row: ``_f``, ``_r``, ``doc_id``, ``text_score``, ``meta_score``, ``score`` and ``kept``.
 
-    Fitted on at most ``labelled`` labelled and ``pool`` unlabelled rows, chosen
-    by a hash of their ids; every document is scored. Labels are 0 or 1; of
-    several labels of an id the greatest counts, null ones don't. With no rows
-    of one class to learn from, all scores are 1 and all documents are kept.
-    Null and empty texts are scored like others. Rows are scored apart, so
-    repeats change nothing; an empty table gives an empty result.
+    Fitted on at most ``labelled`` labelled rows, chosen by a hash of their ids,
+    and on unlabelled ones picked among all, HANDED for a class, view and round
+    at most; every document is scored. Labels are 0 or 1; of several labels of an
+    id the greatest counts, null ones don't. With no rows of one class to learn
+    from, all scores are 1 and all documents are kept. Null and empty texts are
+    scored like others. Rows are scored apart, so repeats change nothing; an empty
+    table gives an empty result.
     """
     seen = scratch.write(features(docs, scratch, text, ident), "features")
-    known = labels.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    by_hash = [F.xxhash64("doc_id"), "doc_id", "_f", "_r"]
-    sample = _arrays(seen.join(known, "doc_id").orderBy(*by_hash).limit(labelled), ("a", "b", "y"))
-    rest = _arrays(seen.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(pool), ("a", "b"))
-    model = co_train((sample[0], sample[1], (sample[2] > 0).astype(float)), (rest[0], rest[1]))
+    model = fit(seen, labels, ident, label, labelled)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views = [batch.column(k).flatten().to_numpy().astype(np.float64).reshape(len(batch), -1) for k in (3, 4)]
+            views = [batch.column(k).flatten().to_numpy().astype(np.float64).reshape(len(batch), -1) for k in (4, 5)]
             found = held.value.scores(*views) if held.value else [np.ones(len(batch))] * 3
             columns = [pa.array(x, pa.float64()) for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns, pa.array(found[2] >= THRESHOLD)], names=["_f", "_r", "doc_id", "text_score", "meta_score", "score", "kept"])

@@ -8,6 +8,7 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerspark.llm import bpe, html_text, licenses, quality
@@ -288,6 +289,70 @@ def test_html_rows(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def in_memory(a, b, keys=None):
+    """A picker among arrays: every row scored, sorted, the best taken."""
+    keys = keys or [(0, k) for k in range(len(a))]
+
+    def pick(views, calibrations, got):
+        out = {}
+        for view, label in ((0, 1), (0, 0), (1, 1), (1, 0)):
+            sure = quality.sureness(views[view], calibrations[view], (a, b)[view], label)
+            best = sorted((-s, keys[k], k) for k, s in enumerate(sure) if s >= quality.SURE and keys[k] not in got[1 - view])[: quality.HANDED]
+            at = [k for _, _, k in best]
+            out[view, label] = [keys[k] for k in at], a[at], b[at]
+        return out
+
+    return pick
+
+
+def test_views_teach_each_other():
+    """Both views are informative, each on rows where the other is in doubt; each hands labels to the other, and the other gains."""
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        y = (rng.random(n) < 0.5).astype(float)
+        clear = rng.random((n, 2)) < 0.6  # where a view tells the class
+        views = [np.where(clear[:, k, None], (2 * y - 1)[:, None] * [2.5, 1.5], 0) + rng.normal(size=(n, 2)) * 0.7 for k in (0, 1)]
+        return *(np.column_stack([v, rng.normal(size=(n, 8))]) for v in views), y
+
+    a, b, y = rows(200)
+    pool_a, pool_b, _ = rows(4000)
+    test_a, test_b, truth = rows(4000)
+    side = np.arange(200) % 5
+    taught = quality.co_train((side, a, b, y), in_memory(pool_a, pool_b))
+    alone = quality.co_train((side, a, b, y), in_memory(pool_a, pool_b), rounds=0)
+    assert {(view, label) for _, view, label, n in taught.handed if n} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    right = lambda m, k: ((m.scores(test_a, test_b)[k] >= 0.5) == truth).mean()
+    assert right(taught, 2) >= right(alone, 2) and right(taught, 0) + right(taught, 1) > right(alone, 0) + right(alone, 1)
+
+
+def test_quality_scores_against_direct_co_training(spark, monkeypatch):
+    """The distributed rounds give the scores that sorting all rows in memory gives; ties, copies, long texts and repeated labels included."""
+    from ledgerspark.llm.common import Scratch
+
+    monkeypatch.setattr(quality, "HANDED", 25)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = [(-k, t, None, "s", 0) for k, t in enumerate(["", None, "word " * 200_000, "same text here", "same text here"], 1)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(7)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    labels = labels.unionByName(labels.where("doc_id % 7 = 0").withColumn("quality", F.lit(1)))
+    work = Scratch(spark, "t")
+    docs = work.write(docs, "docs")
+    got = {(r._f, r._r): (r.text_score, r.meta_score, r.score) for r in quality.score(docs, labels, work).collect()}
+    t = quality.features(docs, work).toPandas()
+    known = labels.toPandas().groupby("doc_id").quality.max()
+    stack = lambda f, c: np.stack([np.array(v, float) for v in f[c]])
+    place = {r.doc_id: n for n, r in enumerate(spark.createDataFrame([(int(k),) for k in known.index], "doc_id bigint").orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    own = t[t.doc_id.isin(known.index)].sort_values(["doc_id", "_f", "_r"])
+    own = own.iloc[np.argsort(own.doc_id.map(place).to_numpy(), kind="stable")]
+    rest = t[~t.doc_id.isin(known.index)]
+    keys = list(zip(rest._f.tolist(), rest._r.tolist()))
+    model = quality.co_train((own.side.to_numpy(), stack(own, "a"), stack(own, "b"), (own.doc_id.map(known) > 0).to_numpy().astype(float)), in_memory(stack(rest, "a"), stack(rest, "b"), keys))
+    want = np.stack(model.scores(stack(t, "a"), stack(t, "b")), 1)
+    assert model.handed and len(got) == len(t) == 1005
+    assert np.allclose(np.array([got[k] for k in zip(t._f.tolist(), t._r.tolist())]), want, atol=1e-6)
+
+
 def test_quality_held_out_accuracy(spark):
     import duckdb
 
@@ -298,7 +363,7 @@ def test_quality_held_out_accuracy(spark):
     code = lambda c, n: (t[c].map({v: k for k, v in enumerate(sorted(t[c].unique()))}) % n).to_numpy()
     b = quality.meta_features(code("lang", quality.LANGS), code("source", quality.SOURCES), t.text.str.len().to_numpy())
     y = t.quality.to_numpy().astype(float)
-    model = quality.co_train((a[:1000], b[:1000], y[:1000]), (a[1000:2000], b[1000:2000]))
+    model = quality.co_train((np.arange(1000) % 5, a[:1000], b[:1000], y[:1000]), in_memory(a[1000:2000], b[1000:2000]))
     score = model.scores(a[2000:], b[2000:])[2]
     good = y[2000:] == 1
     assert (score[good] >= 0.5).mean() > 0.99 and (score[~good] < 0.5).mean() > 0.9
