@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees what earlier runs left on the driver: plans, their broadcasts (on executors too) and generated classes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 _scopes: list[list[Scratch]] = []
 
 
@@ -64,6 +72,7 @@ class Scratch:
     """Tables of one operator run in the shared folder, deleted at exit or by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        release(spark)
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.inputs: list[tuple[DataFrame, DataFrame]] = []

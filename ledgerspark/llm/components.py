@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -35,15 +35,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     def sorted_pairs(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(df: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        """The table, and its count and checksum, taken while it is written."""
+        seen = Observation()
+        table = scratch.write(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), f"{name}-{k}")
+        return table, (seen.get["n"], seen.get["sum"])
 
-    now = scratch.write(sorted_pairs(edges), f"{name}-0")
-    before, k = state(now), 0
+    k = 0
+    now, before = written(sorted_pairs(edges), k)
     while before[0]:
         k += 1
-        now = scratch.write(sorted_pairs(_small_star(sorted_pairs(_large_star(now)))), f"{name}-{k}")
-        after = state(now)
+        now, after = written(sorted_pairs(_small_star(sorted_pairs(_large_star(now)))), k)
         scratch.drop(f"{name}-{k - 1}")
         if after == before:
             break
