@@ -32,8 +32,8 @@ from .common import byte_class, chunks, text_buffer, tidy
 
 #: Fixed value: the pre-tokeniser's public pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Fragments whose ids a worker remembers before it starts anew.
-CACHE = 200_000
+#: Fragments whose ids a worker remembers before it starts anew; it also does with each task.
+CACHE = 64_000
 
 SLOT_BITS = 20
 NEVER = 1 << 60
@@ -233,10 +233,11 @@ class ForcedBoundaryBPE:
 
 
 def _of_worker(spec: bytes) -> ForcedBoundaryBPE:
-    """The one encoder that a Python worker keeps, with its cache, for its next tasks and runs."""
+    """The one encoder that a Python worker keeps for its next tasks and runs."""
     slot = sys.modules.setdefault("_ledgerspark_worker", types.ModuleType("_ledgerspark_worker"))
     if getattr(slot, "spec", None) != spec:
         slot.bpe, slot.spec = ForcedBoundaryBPE(spec), spec
+    slot.bpe.cache.clear()
     return slot.bpe
 
 
@@ -262,18 +263,21 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of_worker(held.value)
-        for batch in batches:
-            raw, offsets = text_buffer(batch.column(len(keep)))
-            for a, b in chunks(offsets):
-                own = offsets[a : b + 1]
-                packed = bpe.encode(raw[own[0] : own[-1]], own - own[0])
-                ids = np.frombuffer(b"".join(packed), np.int32)
-                at = np.cumsum([0, *(len(p) // 4 for p in packed)])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                texts = pa.array([bpe.decode(ids[i:j]).decode("utf-8", "replace") for i, j in zip(at.tolist(), at[1:].tolist())], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), lists, texts], names=[*keep, "ids", "decoded"])
-
-    own = docs.select(*keep, F.col(text).cast("string"))
+        try:
+            for batch in batches:
+                raw, offsets = text_buffer(batch.column(len(keep)))
+                for a, b in chunks(offsets):
+                    own = offsets[a : b + 1]
+                    packed = bpe.encode(raw[own[0] : own[-1]], own - own[0])
+                    ids = np.frombuffer(b"".join(packed), np.int32)
+                    at = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                    texts = pa.array([bpe.decode(ids[i:j]).decode("utf-8", "replace") for i, j in zip(at.tolist(), at[1:].tolist())], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), lists, texts], names=[*keep, "ids", "decoded"])
+        finally:
+            bpe.cache.clear()
+
+    own = docs.select(*keep, F.col(f"`{text}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[: len(keep)])
     return own.mapInArrow(work, f"{schema + ', ' if schema else ''}ids array<int>, decoded string")
 

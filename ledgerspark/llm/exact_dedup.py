@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, join_groups, keyed, only, with_keys, without
+from .common import Scratch, ascii_lower, join_groups, keyed, only, settings, with_keys, without
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,18 +48,12 @@ def _state(keys_path: str, keys: DataFrame, scratch: Scratch, bytes_per_batch: s
         if path not in batches:
             batches.append(path)
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, STATE):
         query = (
             held.writeStream.outputMode("update").trigger(availableNow=True)
             .option("checkpointLocation", f"{folder or scratch.base}/state").foreachBatch(put).start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest binary, n bigint, keep struct<doc_id: bigint, _f: bigint, _r: bigint>"
     if folder:
         updates = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/updates").drop("batch")
