@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +33,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Fragments whose ids a worker remembers before it starts anew; it also does with each task.
 CACHE = 64_000
 
-SLOT_BITS = 20
+SLOT_BITS = 18
 NEVER = 1 << 60
 
 ASCII_SPACE = byte_class((9, 13), (28, 32))
@@ -61,11 +59,8 @@ class ForcedBoundaryBPE:
         vocab = {to_bytes(t): i for t, i in model["vocab"].items()}
         self.special = {a["content"].encode(): a["id"] for a in said["added_tokens"]}
         self.byte_id = [vocab[bytes([b])] for b in range(256)]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = map(to_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
-        self._hash_merges()
+        merges = (map(to_bytes, p.split(" ") if isinstance(p, str) else p) for p in model["merges"])
+        self._hash_merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         seen = np.zeros(65536, bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
@@ -77,25 +72,47 @@ class ForcedBoundaryBPE:
         self.token_len = np.array([len(by_id.get(i, b"")) for i in range(size)], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
-        self.special_at = regex.compile("|".join(regex.escape(s.decode()) for s in self.special).encode()) if self.special else None
+        self.special_at = self._pattern(self.special)
         self.cache: dict[bytes, bytes] = {}
 
-    def _hash_merges(self) -> None:
+    def __getstate__(self) -> dict:
+        """Without the cache and compiled patterns; what is sent to workers is arrays of a few MB."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "special_at")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, cache={}, special_at=self._pattern(state["special"]))
+
+    @staticmethod
+    def _pattern(special: dict[bytes, int]) -> regex.Pattern | None:
+        return regex.compile("|".join(regex.escape(s.decode()) for s in special).encode()) if special else None
+
+    def _hash_merges(self, merges: list[tuple[int, int, int]]) -> None:
         """The merges as an open-addressed hash table in arrays, and the new id of each rank."""
-        pairs = list(self.merge)
+        # A pair that is listed again has its last rank.
+        last = {a << 32 | b: rank for rank, (a, b, _) in enumerate(merges)}
         self.first_id = np.array(self.byte_id, np.int64)
-        self.new_id = np.array([self.merge[p][1] for p in pairs], np.int64)
+        self.new_id = np.array([new for _, _, new in merges], np.int64)
         self.table = np.full((1 << SLOT_BITS) + 256, -1, np.int64)
         self.table_rank = np.full(len(self.table), NEVER, np.int64)
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
         self.probes = 1
-        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+        for key, at, rank in zip(last, self._slot(np.array(list(last), np.int64)).tolist(), last.values()):
             first = at
             while self.table[at] >= 0:
                 at += 1
             self.table[at], self.table_rank[at] = key, rank
             self.probes = max(self.probes, at - first + 1)
 
+    def _merge(self, a: int, b: int) -> tuple[int, int] | None:
+        """The rank and new id of one pair."""
+        key = a << 32 | b
+        at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - SLOT_BITS)
+        while self.table[at] >= 0:
+            if self.table[at] == key:
+                rank = int(self.table_rank[at])
+                return rank, int(self.new_id[rank])
+            at += 1
+        return None
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -139,10 +156,9 @@ class ForcedBoundaryBPE:
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """As merged_all() for one very long pre-token: a heap of possible merges over a linked list."""
-        merge, n = self.merge, len(ids)
+        n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(*merge[p], k, p) for k, p in enumerate(zip(ids, ids[1:])) if p in merge]
-        heap = [(rank, k, new, p) for rank, new, k, p in heap]
+        heap = [(m[0], k, m[1], p) for k, p in enumerate(zip(ids, ids[1:])) if (m := self._merge(*p))]
         heapq.heapify(heap)
         while heap:
             _, k, new, pair = heapq.heappop(heap)
@@ -153,9 +169,8 @@ class ForcedBoundaryBPE:
             if after[k] >= 0:
                 before[after[k]] = k
             for a in (before[k], k):
-                if a >= 0 and after[a] >= 0 and (p := (ids[a], ids[after[a]])) in merge:
-                    rank, to = merge[p]
-                    heapq.heappush(heap, (rank, a, to, p))
+                if a >= 0 and after[a] >= 0 and (m := self._merge(*(p := (ids[a], ids[after[a]])))):
+                    heapq.heappush(heap, (m[0], a, m[1], p))
         return [i for i in ids if i >= 0]
 
     def learn(self, fragments: list[bytes]) -> None:
@@ -232,15 +247,6 @@ class ForcedBoundaryBPE:
         return self.token_bytes[shift + np.arange(ends[-1])].tobytes()
 
 
-def _of_worker(spec: bytes) -> ForcedBoundaryBPE:
-    """The one encoder that a Python worker keeps for its next tasks and runs."""
-    slot = sys.modules.setdefault("_ledgerspark_worker", types.ModuleType("_ledgerspark_worker"))
-    if getattr(slot, "spec", None) != spec:
-        slot.bpe, slot.spec = ForcedBoundaryBPE(spec), spec
-    slot.bpe.cache.clear()
-    return slot.bpe
-
-
 def default_tokenizer() -> str:
     """The place of the public byte-level vocabulary that the queries use."""
     import public_tokenizers
@@ -251,18 +257,18 @@ def default_tokenizer() -> str:
 def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep``, then ``ids`` (array of int) and ``decoded`` (string), of every row.
 
-    The vocabulary file is read on the driver and broadcast; its size does not
-    depend on the data. Null texts count as empty: no ids, empty string. Rows
+    The vocabulary file is read on the driver; its tables are broadcast, whose size
+    does not depend on the data. Null texts count as empty: no ids, empty string. Rows
     are independent, so repeated rows and null ids change nothing; an empty
     table gives an empty table; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())
+        held = spark.sparkContext.broadcast(ForcedBoundaryBPE(f.read()))
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _of_worker(held.value)
+        bpe = held.value
         try:
             for batch in batches:
                 raw, offsets = text_buffer(batch.column(len(keep)))
