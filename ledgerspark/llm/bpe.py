@@ -33,7 +33,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Fragments whose ids a worker remembers before it starts anew; it also does with each task.
 CACHE = 64_000
 
-SLOT_BITS = 18
+SLOT_BITS = 19
 NEVER = 1 << 60
 
 ASCII_SPACE = byte_class((9, 13), (28, 32))

@@ -84,3 +84,23 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
     assert all(isinstance(s, str) for s in __spark_entry__.oracle_sql().values())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty texts, clashing names, and an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _f int, pattern string, row string"
+    words = "lake stone river walked green after before house light under".split()
+    some = lambda k: " ".join(words[(k * j) % 10] + str(k) for j in range(1, 30))
+    rows = [(k, some(k), None if k % 5 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None, k, "p", None) for k in range(20)]
+    rows += [(3, some(3), "en", "s0", 5, 3, "p", None), (3, some(77), "en", "s0", 5, 3, "p", None), (None, some(78), None, None, None, None, None, None), (50, None, None, None, None, None, None, None), (51, "", "en", "s1", 0, 0, "", "")]
+    for name, own in (("odd", rows), ("empty", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(own, schema).coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()
+        # Without labels all stay; of equal rows one; null, empty and unfit texts aren't mixed in.
+        assert (name == "empty") == (not out) and {r.doc_id for r in out} <= {r[0] for r in rows if r[1]}
+        if own:
+            docs = spark.read.parquet(f"{sf}/documents.parquet")
+            kept = corpus_pipeline.drop_near(spark, Scratch(spark, "t").write(corpus_pipeline.drop_exact(spark, docs, sf), "exact"), sf)
+            assert kept.columns == docs.columns and sorted(Counter(r.doc_id for r in kept.collect()).items(), key=str) == sorted(Counter([*range(20), 3, None, 51]).items(), key=str)
