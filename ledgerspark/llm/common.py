@@ -267,7 +267,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> D
     broadcast, so their rows stay where they are; only those of other keys are shuffled, at every
     size of ``groups``, which grow with the data. Both sides are read twice and should be tables.
     """
-    hot = groups.where(F.col(n) > 1).orderBy(F.desc(n)).limit(HOT_KEYS)
+    hot = groups.where(F.col(n) > 1).orderBy(F.desc(n), key).limit(HOT_KEYS)  # ties by key: it is evaluated twice
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     rest = marked.where("_hot is null").select(*rows.columns).join(groups.hint("merge"), key)
     return marked.where("_hot").select(*rest.columns).unionByName(rest)

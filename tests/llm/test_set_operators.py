@@ -44,6 +44,20 @@ def test_exact_drops_and_batches(spark):
     assert exact_dedup.drop_copies(docs.where("false"), scratch(spark)).count() == 0
 
 
+def test_join_groups_neither_loses_nor_repeats_rows(spark, monkeypatch):
+    """Many keys tie for the last hot places; the hot ones are found anew wherever they are used."""
+    from ledgerspark.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 7)
+    work = scratch(spark)
+    rows = work.write(spark.range(4000).select("id", (F.col("id") % 1000).alias("key")).repartition(13), "rows")
+    groups = work.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartition(11), "groups")
+    out = common.join_groups(rows, groups, "key")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "n#" in plan and all("key#" in line.split("[", 1)[1] for line in plan.splitlines() if "Sort [" in line)
+    assert sorted(r.id for r in out.collect()) == list(range(4000)) and {r.n for r in out.collect()} == {4}
+
+
 def test_exact_keeps_state_between_calls(spark, tmp_path):
     state = f"file://{tmp_path}/state"
     for texts, want in (([(1, "a"), (2, "b")], {1: (1, 1), 2: (2, 1)}), ([(3, "A"), (4, "c")], {3: (3, 2), 4: (4, 1)}), ([(0, "b"), (5, "x")], {0: (2, 2), 5: (5, 1)})):
