@@ -272,7 +272,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple
         try:
             for batch in batches:
                 raw, offsets = text_buffer(batch.column(len(keep)))
-                for a, b in chunks(offsets, 1 << 18):  # lists of fragments take many times the text  # long lists of fragments take many times the text
+                for a, b in chunks(offsets, 1 << 18):  # lists of fragments take many times the text
                     own = offsets[a : b + 1]
                     packed = bpe.encode(raw[own[0] : own[-1]], own - own[0])
                     ids = np.frombuffer(b"".join(packed), np.int32)

@@ -19,6 +19,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def trim() -> None:
+    """Gives unused native memory of this Python process back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if give_back:
+        give_back(0)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Does the same in the driver's JVM, whose allocator keeps what hundreds of short-lived threads have freed.
+
+    By reflection, since the bean server's class can't be called from outside; nothing happens in a JVM without that command.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    arguments = gateway.new_array(jvm.Object, 4)
+    arguments[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    arguments[1] = "systemTrimNativeHeap"
+    arguments[2], arguments[3] = gateway.new_array(jvm.Object, 0), gateway.new_array(jvm.String, 0)
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+    invoke = next(m for m in methods if m.getName() == "invoke")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JJavaError:
+        pass
+
+
 def release(spark: SparkSession) -> None:
-    """Frees what earlier runs left on the driver: plans, their broadcasts (on executors too) and generated classes."""
+    """Frees what earlier runs left on the driver: plans, their broadcasts (on executors too), generated classes and native memory."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
     spark._jvm.System.gc()
+    trim_jvm(spark)
 
 
 #: Arrow batches while scratch tables are written: of few rows and bytes, so that long texts don't pile up in workers.
@@ -207,10 +235,7 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim:
-                trim(0)
+            trim()
 
     return run
 
