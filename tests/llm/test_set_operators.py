@@ -207,6 +207,26 @@ def test_suffixes():
         suffix_sort.BLOCK = block
 
 
+def test_long_repeats_are_not_compared_by_symbols(monkeypatch):
+    """Common prefixes of the sort's neighbours come from its names; symbols are compared only where names end, also with ties beyond the width."""
+    rng = np.random.default_rng(1)
+    passages = [rng.integers(1, 257, n).astype(np.uint16) for n in (150, 399, 400, 401, 900, 2000)] + [np.full(700, 7, np.uint16), np.tile(np.uint16([5, 9]), 350)]
+    text = np.concatenate([x for k in rng.integers(0, len(passages), 120) for x in (passages[k], rng.integers(1, 257, k).astype(np.uint16), [0])]).astype(np.uint16)
+    compared, common = [], suffix_sort.common_prefix
+
+    def spy(*given):
+        out = common(*given)
+        compared.extend(out.tolist())
+        return out
+
+    monkeypatch.setattr(suffix_sort, "common_prefix", spy)
+    data = text.astype(">u2").tobytes()
+    starts = [data[2 * i : 2 * i + 800] for i in range(len(text))]
+    seen = Counter(x for x in starts if len(x) == 800)
+    assert suffix_sort.repeated_windows(text, 400).tolist() == [seen[x] > 1 for x in starts]
+    assert compared and sum(compared) < 20 * len(compared)
+
+
 def cut_strings(texts, width):
     data = [(t or "").encode() for _, t in texts]
     seen = Counter(t[i : i + width] for t in data for i in range(len(t) - width + 1))
